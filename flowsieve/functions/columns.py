@@ -59,11 +59,10 @@ def total(columns: list[Column]) -> Column:
 
 
 def camel_case(c: str | Column) -> Column:
-    """``flow_byte rate`` -> ``flowByteRate``."""
-    words = F.filter(F.split(F.trim(col(c)), r"[^A-Za-z0-9]+"), lambda w: w != "")
-    head = F.lower(F.element_at(words, 1))
-    tail = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: F.initcap(w))
-    return F.when(F.size(words) > 0, F.concat(head, F.array_join(tail, ""))).otherwise(F.lit(""))
+    """``flow_byte rate`` -> ``flowByteRate``; words are cut at ``_``, ``-`` and blanks."""
+    words = F.split(col(c), "[-_ ]")
+    tail = F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: F.initcap(w))
+    return F.concat(F.lower(F.element_at(words, 1)), F.array_join(tail, ""))
 
 
 def label_text(c: str | Column) -> Column:
