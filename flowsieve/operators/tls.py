@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowsieve.functions.columns import EPS, equal_width_bin
 from flowsieve.operators.flows import value_entropy, zero
@@ -177,7 +177,7 @@ def _regularity(raw: bytes) -> float | None:
     return score
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pattern_score(payload: pd.Series) -> pd.Series:
     """Highest count of an n-gram over the length, summed over n = 2, 4, 8; NULL below 16 bytes."""
     return pd.Series([_regularity(p) for p in payload], dtype="float64")
