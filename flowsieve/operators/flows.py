@@ -89,7 +89,6 @@ def tls_aggs() -> list[Column]:
         *[F.count_if(F.col("handshake_type") == v).alias(n) for n, v in HANDSHAKE_TYPES.items()],
         zero(F.avg("cert_length")).alias("certLengthMean"), zero(F.max("cert_length").cast("double")).alias("certLengthMax"),
         F.count("cert_length").alias("certCount"),
-        F.count_distinct("cipher_suite").alias("uniqueCiphers"),
         *[
             F.coalesce(F.max(F.col("cipher_suite").contains(w).cast("int")), F.lit(0)).alias(n)
             for n, w in CIPHER_WORDS.items()
@@ -130,31 +129,38 @@ def tls_port_features(packets: DataFrame, key: Sequence[str] = ("flow_id",), por
 
 
 def flow_profile(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
-    """Every aggregate feature that needs no quantile, from one pass and one groupBy."""
+    """Every feature that needs no quantile. One pass for the aggregates over ordered
+    packets, one over pre-counted values for entropies and distinct counts."""
     p = with_previous(packets, key, ORDER, ["t", "direction"])
     p = p.withColumn("iat", F.col("t") - F.col("prev_t"))
     aggs = [
         *basic_aggs(), *direction_aggs(), *rate_aggs(), *protocol_aggs(), *flag_aggs(), *tls_aggs(),
         *moment_aggs("size", "size"), *moment_aggs("iat", "iat"),
-        F.count_distinct("dst_port").alias("uniquePorts"),
         F.count_if(~F.col("direction").eqNullSafe(F.col("prev_direction"))).alias("directionChanges"),
     ]
     out = p.groupBy(*key).agg(*first_of_name(aggs))
-    return out.withColumn("fwdBwdRatio", F.col("fwdPktCount") / F.greatest(F.col("bwdPktCount"), F.lit(1)))
+    out = out.withColumn("fwdBwdRatio", F.col("fwdPktCount") / F.greatest(F.col("bwdPktCount"), F.lit(1)))
+    values = value_entropy(
+        packets, key, {"protocolEntropy": "protocol", "payloadSizeEntropy": "size"},
+        distinct={"uniquePorts": "dst_port", "uniqueCiphers": "cipher_suite"},
+    )
+    return match_keys(out, values, list(key))
 
 
 def value_entropy(
-    df: DataFrame, key: Sequence[str], values: Mapping[str, str], eps: float = 0.0, normalized: bool = False
+    df: DataFrame, key: Sequence[str], values: Mapping[str, str], eps: float = 0.0, normalized: bool = False,
+    distinct: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Shannon entropy in bits of each column in ``values`` (output name -> column).
 
     With ``eps`` the form is ``-sum p*log2(p+eps)``; ``normalized`` adds ``<name>Norm``,
-    the entropy over log2(distinct values + eps). Values are counted per (key, value)
-    before anything is gathered per key.
+    the entropy over log2(distinct values + eps); ``distinct`` adds distinct counts of
+    further columns. Values are counted per (key, value) before anything is gathered per key.
     """
+    distinct = dict(distinct or {})
     types = dict(df.dtypes)
     parts = []
-    for name, c in values.items():
+    for name, c in {**values, **distinct}.items():
         text = types[c] in ("string", "binary", "boolean")
         number = F.lit(None).cast("double") if text else F.col(c).cast("double")
         word = F.col(c).cast("string") if text else F.lit(None).cast("string")
@@ -183,11 +189,18 @@ def value_entropy(
         picks.append(zero(F.max(F.when(mine, F.col("h")))).alias(name))
         if normalized:
             picks.append(zero(F.max(F.when(mine, F.col("norm")))).alias(f"{name}Norm"))
+    for name in distinct:
+        picks.append(F.coalesce(F.max(F.when(F.col("feature") == name, F.col("distinct"))), F.lit(0)).alias(name))
     if not key:
         return per.agg(*picks)
     return per.groupBy(*key).agg(*picks)
 
 
+def tls_features(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
+    """TLS versions, handshake types, certificates and ciphers per flow."""
+    return packets.groupBy(*key).agg(*tls_aggs(), F.count_distinct("cipher_suite").alias("uniqueCiphers"))
+
+
 def size_moments(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
     """Moments of size and IAT with size quartiles."""
     p = with_iat(packets, key)

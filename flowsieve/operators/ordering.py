@@ -25,31 +25,39 @@ def attach_row(df: DataFrame, one_row: DataFrame, name: str = "_s") -> DataFrame
     return df.withColumn(name, packed.scalar())
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL; keys of the left side are kept."""
+def match_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False
+) -> DataFrame:
+    """Equi-join on ``keys``; the key columns of the left side are kept.
+
+    Plain equality lets the join share the exchange of a window or aggregate
+    over the same keys. Rows with a NULL key belong to no group then, as in a
+    groupby; ``null_safe`` lets NULL match NULL and is meant for small right sides.
+    """
+    if not null_safe:
+        return left.join(right, list(keys), how)
     renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     condition = None
     for k in keys:
         test = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
         condition = test if condition is None else condition & test
-    if condition is None:
-        raise ValueError("match_keys needs at least one key")
-    joined = left.join(renamed, condition, how)
-    return joined.drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def join_group_stats(
-    rows: DataFrame, stats: DataFrame, key: Sequence[str], spread: Sequence[str], salts: int = 8, how: str = "inner"
+    rows: DataFrame, stats: DataFrame, key: Sequence[str], spread: Sequence[str], salts: int = 8, how: str = "inner",
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join one stats row per key to the rows of the key, spreading each key over
     ``salts`` tasks by a hash of the ``spread`` columns."""
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return match_keys(salted, copies, [*key, "_salt"], how).drop("_salt")
+    return match_keys(salted, copies, [*key, "_salt"], how, null_safe).drop("_salt")
 
 
 def index_rows(
-    df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "rn"
+    df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "rn",
+    null_safe: bool = False,
 ) -> DataFrame:
     """Dense 1-based row number inside each key (or over the whole table when
     ``key`` is empty). ``bucket`` must be monotone in the first order column."""
@@ -59,7 +67,7 @@ def index_rows(
     offsets = totals.select(*key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*key, "_b").orderBy(*order)
     return (
-        match_keys(b, offsets, [*key, "_b"])
+        match_keys(b, offsets, [*key, "_b"], null_safe=null_safe)
         .withColumn(name, F.col("_off") + F.row_number().over(inside))
         .drop("_b", "_off")
     )
@@ -79,7 +87,13 @@ def with_previous(
     epoch seconds). Rows travel once, to their ``(key, time slice)``; the last
     row of the slice before comes from a per-slice summary."""
     b = df.withColumn("_b", time_bucket(order[0], tick))
-    tail = F.max(F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in columns])).alias("_tail")
+    if list(columns) == [order[0]]:
+        # a plain maximum stays in the hash aggregate; a struct would need a sort
+        tail = F.max(order[0]).alias("_tail")
+        carried = {order[0]: F.col("_carry")}
+    else:
+        tail = F.max(F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in columns])).alias("_tail")
+        carried = {c: F.col(f"_carry._v_{c}") for c in columns}
     last = b.groupBy(*key, "_b").agg(tail)
     across = Window.partitionBy(*key).orderBy("_b")
     carry = last.select(*key, "_b", F.lag("_tail").over(across).alias("_carry"))
@@ -87,7 +101,7 @@ def with_previous(
     joined = match_keys(b, carry, [*key, "_b"]).withColumn("_first", F.row_number().over(inside) == 1)
     for c in columns:
         joined = joined.withColumn(
-            prefix + c, F.when(F.col("_first"), F.col(f"_carry._v_{c}")).otherwise(F.lag(c).over(inside))
+            prefix + c, F.when(F.col("_first"), carried[c]).otherwise(F.lag(c).over(inside))
         )
     return joined.drop("_b", "_carry", "_first")
 

@@ -94,7 +94,7 @@ def e08(spark, sf):
  {', '.join(f'''CAST(coalesce(max(CAST(cipher_suite LIKE '%{t}%' AS INTEGER)),0) AS BIGINT) AS "{n}"''' for n, t in fl.CIPHER_WORDS.items())}
 FROM packets GROUP BY 1""")
 def e09(spark, sf):
-    return settle(v.packets(spark, sf).groupBy("flow_id").agg(*fl.tls_aggs()))
+    return settle(fl.tls_features(v.packets(spark, sf)))
 
 
 @query("E10_shannon_entropy", f"""WITH {v.PACKETS}, a AS ({ENTROPY.format(eps='0', col='size', rel='packets')}), b AS ({ENTROPY.format(eps='1e-10', col='size', rel='packets')}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "flowsieve", master: str | None = None, **conf: str) -> SparkSession:
@@ -44,6 +44,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write a derived table under the shared folder and read it back.
+
+    Cuts the lineage of what several later passes read (fitted limits and the
+    rows they apply to), and survives lost executors.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the shared folder when nothing is set yet."""
     if spark.sparkContext.getCheckpointDir() is None:
