@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowsieve.plans import clean_queries, feature_queries, flow_queries, metric_queries, sequence_queries, temporal_queries  # noqa: F401
+from flowsieve.plans import clean_queries, feature_queries, flow_queries, metric_queries, sequence_queries, source_queries, temporal_queries  # noqa: F401
 from flowsieve.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
