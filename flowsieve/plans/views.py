@@ -30,7 +30,17 @@ def _pick(number, *values):
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return packets_of(table(spark, sf, "events")).drop("ts")
+
+
+def packet_stream(spark: SparkSession, sf: str, files_per_trigger: int = 1) -> DataFrame:
+    """The packet view over ``events`` as a file stream, with ``ts`` for watermarks."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return packets_of(stream.option("maxFilesPerTrigger", files_per_trigger).parquet(sf))
+
+
+def packets_of(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     protocol = (
@@ -57,6 +67,7 @@ def packets(spark: SparkSession, sf: str) -> DataFrame:
             "TLS_CHACHA20_POLY1305_SHA256", "TLS_RSA_WITH_RC4_128_SHA",
         ).alias("cipher_suite"),
         (kind == "error").cast("int").alias("label"),
+        F.col("ts").cast("timestamp").alias("ts"),
     )
 
 
