@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsieve.functions.columns import EPS, MIN_DURATION, safe_divide
 from flowsieve.operators.ordering import (
-    TICK_SECONDS, block_window, group_quantiles, index_by_time, join_group_stats, match_keys, melt, with_look_back,
+    TICK_SECONDS, block_window, group_quantiles, index_by_time, join_group_stats, join_heavy_stats, match_keys, melt, with_look_back,
     with_previous,
 )
 
@@ -380,9 +380,9 @@ def percentile_ranks(df: DataFrame, row_key: str, columns: Sequence[str]) -> Dat
     cum = running_totals(counts, ["feature"], "value", ["n"], magnitude_bucket("value"))
     totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
     ranks = match_keys(cum, totals, ["feature"]).select(
-        "feature", "value", ((F.col("cum_n") - (F.col("n") - 1) / 2) / F.col("total")).alias("rank")
+        "feature", "value", "n", ((F.col("cum_n") - (F.col("n") - 1) / 2) / F.col("total")).alias("rank")
     )
-    return join_group_stats(cells, ranks, ["feature", "value"], [row_key]).select(row_key, "feature", "rank")
+    return join_heavy_stats(cells, ranks, ["feature", "value"], "n").select(row_key, "feature", "rank")
 
 
 def widen(long: DataFrame, key: Sequence[str], names: Mapping[str, str], value: str) -> DataFrame:

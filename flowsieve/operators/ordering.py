@@ -55,16 +55,36 @@ def join_group_stats(
     return match_keys(salted, copies, [*key, "_salt"], how, null_safe).drop("_salt")
 
 
+HOT_SHARE = 0.001
+
+
+def join_heavy_stats(rows: DataFrame, stats: DataFrame, key: Sequence[str], weight: str) -> DataFrame:
+    """Join stats that may be as many as the rows, without copying them.
+
+    ``weight`` counts the rows of each key. Keys above a thousandth of all rows,
+    at most a thousand by construction, are broadcast; every other key is
+    small enough for one task of an ordinary join.
+    """
+    total = stats.agg((F.sum(weight) * HOT_SHARE).alias("_limit")).scalar()
+    hot = stats.where(F.col(weight) > total)
+    warm = rows.join(F.broadcast(hot), list(key))
+    cold = rows.join(F.broadcast(hot.select(*key)), list(key), "left_anti").join(stats, list(key))
+    return warm.unionByName(cold)
+
+
 def index_rows(
     df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "rn",
-    null_safe: bool = False,
+    null_safe: bool = False, total: str | None = None,
 ) -> DataFrame:
     """Dense 1-based row number inside each key (or over the whole table when
-    ``key`` is empty). ``bucket`` must be monotone in the first order column."""
+    ``key`` is empty). ``bucket`` must be monotone in the first order column.
+    ``total`` names a further column for the number of rows of the key, which
+    comes along at no extra cost."""
     b = df.withColumn("_b", bucket)
     totals = b.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    size = [F.sum("_n").over(Window.partitionBy(*key)).alias(total)] if total else []
+    offsets = totals.select(*key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *size)
     inside = Window.partitionBy(*key, "_b").orderBy(*order)
     return (
         match_keys(b, offsets, [*key, "_b"], null_safe=null_safe)
@@ -156,54 +176,60 @@ def prob_name(p: float) -> str:
     return f"p{p * 100:g}".replace(".", "_")
 
 
-def group_quantiles(df: DataFrame, key: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per key, columns ``p5``, ``p50``, ...
+def _rank(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("_all") - 1)
 
-    Rows collapse to (key, value, count) before they travel; only the magnitude
-    buckets which hold a wanted rank are then ordered, each in its own task.
-    """
-    key = list(key)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*key, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", magnitude_bucket("_v"))
-    )
-    bands = counts.groupBy(*key, "_b").agg(F.sum("_n").alias("_n"))
+
+def _holds(low: str, high: str, r: Column) -> Column:
+    return (F.col(low) <= r) & (r < F.col(high))
+
+
+def _wanted_bands(bands: DataFrame, key: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """From (key, _b, _n), the bands which hold a wanted rank, with the rows below them (_lo) and in all (_all)."""
     upto = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*key)
     bands = bands.select(
         *key, "_b", F.sum("_n").over(upto).alias("_hi"), F.sum("_n").over(whole).alias("_all"), "_n"
     ).withColumn("_lo", F.col("_hi") - F.col("_n"))
-
-    def rank(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("_all") - 1)
-
-    def holds(low: str, high: str, r: Column) -> Column:
-        return (F.col(low) <= r) & (r < F.col(high))
-
     wanted = F.lit(False)
     for p in probs:
-        wanted = wanted | holds("_lo", "_hi", F.floor(rank(p))) | holds("_lo", "_hi", F.ceil(rank(p)))
-    bands = bands.where(wanted).drop("_n", "_hi")
+        wanted = wanted | _holds("_lo", "_hi", F.floor(_rank(p))) | _holds("_lo", "_hi", F.ceil(_rank(p)))
+    return bands.where(wanted).drop("_n", "_hi")
+
+
+def _pick_quantiles(counts: DataFrame, key: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """From (key, _b, _v, _n, _lo, _all), the interpolated quantiles."""
     inside = Window.partitionBy(*key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        match_keys(counts, bands, [*key, "_b"])
-        .withColumn("_end", F.col("_lo") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
+    ranked = counts.withColumn("_end", F.col("_lo") + F.sum("_n").over(inside)).withColumn("_start", F.col("_end") - F.col("_n"))
     picks = []
     for i, p in enumerate(probs):
-        picks.append(F.max(F.when(holds("_start", "_end", F.floor(rank(p))), F.col("_v"))).alias(f"_f{i}"))
-        picks.append(F.max(F.when(holds("_start", "_end", F.ceil(rank(p))), F.col("_v"))).alias(f"_c{i}"))
+        picks.append(F.max(F.when(_holds("_start", "_end", F.floor(_rank(p))), F.col("_v"))).alias(f"_f{i}"))
+        picks.append(F.max(F.when(_holds("_start", "_end", F.ceil(_rank(p))), F.col("_v"))).alias(f"_c{i}"))
     picked = ranked.groupBy(*key).agg(F.max("_all").alias("_all"), *picks)
     lerp = [
-        (F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * (rank(p) - F.floor(rank(p)))).alias(prob_name(p))
+        (F.col(f"_f{i}") + (F.col(f"_c{i}") - F.col(f"_f{i}")) * (_rank(p) - F.floor(_rank(p)))).alias(prob_name(p))
         for i, p in enumerate(probs)
     ]
     return picked.select(*key, *lerp)
 
 
+def group_quantiles(df: DataFrame, key: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per key, columns ``p5``, ``p50``, ...
+
+    Rows collapse to (key, value, count) before they travel; only the magnitude
+    bands which hold a wanted rank are then ordered, each in its own task.
+    """
+    key = list(key)
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*key, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_b", magnitude_bucket("_v"))
+    )
+    bands = _wanted_bands(counts.groupBy(*key, "_b").agg(F.sum("_n").alias("_n")), key, probs)
+    return _pick_quantiles(match_keys(counts, bands, [*key, "_b"]), key, probs)
+
+
 def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Long form ``(keep..., feature, value)`` of numeric columns."""
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
@@ -212,9 +238,34 @@ def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFram
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row ``<column>_p<q>`` for several columns, from a single pass over the table."""
-    long = group_quantiles(melt(df, [], columns), ["feature"], "value", probs)
+    """One row ``<column>_p<q>`` of exact quantiles of several columns.
+
+    The first pass counts magnitude bands, which shrinks to a few rows per task;
+    the second keeps only values in the bands that hold a wanted rank. Those are
+    at most two per column and quantile, so they are broadcast and almost no
+    value is shuffled.
+    """
+    cells = melt(df, [], columns).where(F.col("value").isNotNull()).select(
+        "feature", F.col("value").alias("_v"), magnitude_bucket("value").alias("_b")
+    )
+    bands = _wanted_bands(cells.groupBy("feature", "_b").agg(F.count(F.lit(1)).alias("_n")), ["feature"], probs)
+    inside = cells.join(F.broadcast(bands), ["feature", "_b"]).groupBy("feature", "_b", "_v", "_lo", "_all").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    long = _pick_quantiles(inside, ["feature"], probs)
     names = [prob_name(p) for p in probs]
     return long.agg(
         *[F.max(F.when(F.col("feature") == c, F.col(n))).alias(f"{c}_{n}") for c in columns for n in names]
     )
+
+
+def by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash partitioning for per-key Python work. The session's partition count is kept as it
+    is: merging partitions by their bytes would starve cores when little data needs much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """More partitions for a small input with fewer of them than cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

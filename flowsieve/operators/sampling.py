@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsieve.functions.columns import hash_bucket
-from flowsieve.operators.ordering import attach_row, index_rows, join_group_stats
+from flowsieve.operators.ordering import attach_row, index_rows
 
 
 def row_hash(key: str | Column) -> Column:
@@ -19,19 +19,15 @@ def unit_hash(key: str | Column) -> Column:
     return F.conv(F.substring(row_hash(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rank_by_hash(df: DataFrame, key: str, within: Sequence[str] = (), name: str = "rn") -> DataFrame:
-    """1-based position inside each class in the order of the digest."""
+def rank_by_hash(df: DataFrame, key: str, within: Sequence[str] = (), name: str = "rn", total: str | None = None) -> DataFrame:
+    """1-based position inside each class in the order of the digest; ``total`` adds the class size."""
     h = df.withColumn("_h", row_hash(key))
-    return index_rows(h, list(within), ["_h", key], hash_bucket("_h"), name, null_safe=True).drop("_h")
-
-
-def with_class_size(df: DataFrame, label: str, spread: Sequence[str], name: str = "class_n") -> DataFrame:
-    return join_group_stats(df, df.groupBy(label).agg(F.count(F.lit(1)).alias(name)), [label], spread, null_safe=True)
+    return index_rows(h, list(within), ["_h", key], hash_bucket("_h"), name, null_safe=True, total=total).drop("_h")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.15, validation: float = 0.15) -> DataFrame:
     """Adds ``split``: train, validation or test with the same shares in every class."""
-    ranked = with_class_size(rank_by_hash(df, key, [label]), label, [key])
+    ranked = rank_by_hash(df, key, [label], total="class_n")
     train = F.floor(F.col("class_n") * F.lit(1.0 - test - validation))
     upto = F.floor(F.col("class_n") * F.lit(1.0 - test))
     split = F.when(F.col("rn") <= train, "train").when(F.col("rn") <= upto, "validation").otherwise("test")
@@ -49,7 +45,7 @@ def random_split(df: DataFrame, key: str, test: float = 0.15, validation: float
 def stratified_sample(df: DataFrame, key: str, label: str, size: int = 20000) -> DataFrame:
     """At most about ``size`` rows, each class with its share of the table."""
     total = df.agg(F.count(F.lit(1)).alias("n"))
-    ranked = attach_row(with_class_size(rank_by_hash(df, key, [label]), label, [key]), total, "_t")
+    ranked = attach_row(rank_by_hash(df, key, [label], total="class_n"), total, "_t")
     share = F.least(F.lit(1.0), F.lit(float(size)) / F.col("_t.n"))
     return ranked.where(F.col("rn") <= F.floor(F.col("class_n") * share + 0.5)).drop("rn", "class_n", "_t")
 
@@ -74,7 +70,7 @@ def fold_summary(scores: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def balanced_oversample(df: DataFrame, key: str, label: str) -> DataFrame:
     """Every class grown to the size of the largest by repeating its rows evenly; ``copy`` counts the repeats."""
-    ranked = with_class_size(rank_by_hash(df, key, [label]), label, [key])
+    ranked = rank_by_hash(df, key, [label], total="class_n")
     largest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
     out = attach_row(ranked, largest, "_m")
     copies = F.floor((F.col("_m.n") - F.col("rn")) / F.col("class_n")) + 1

@@ -14,7 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsieve.operators.ordering import block_window, join_group_stats, with_look_back
+from flowsieve.operators.ordering import block_window, by_key, join_group_stats, with_look_back
+from flowsieve.session import materialize
 
 FLOW_ROWS = 1 << 18  # largest series handled as one group
 MATCH_ROWS = 4096  # largest side of one template-matching group
@@ -23,14 +24,18 @@ PEAK_HEIGHT = 0.1
 
 
 def split_by_size(series: DataFrame, key: Sequence[str], value: str, limit: int, spread: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Rows with ``_n``, ``_mean`` and ``_sd`` of their flow, as (short flows, long flows or None)."""
+    """(rows of short flows, rows of long flows or None); long rows carry ``_n``, ``_mean`` and ``_sd`` of their flow.
+
+    The series is written once: the size check and both ways read it.
+    """
+    series = materialize(series, "series")
     stats = series.groupBy(*key).agg(
         F.count(value).alias("_n"), F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")
     )
-    rows = join_group_stats(series, stats, key, spread)
     if stats.where(F.col("_n") > limit).isEmpty():
-        return rows, None
-    return rows.where(F.col("_n") <= limit), rows.where(F.col("_n") > limit)
+        return series, None
+    rows = join_group_stats(series, stats, key, spread)
+    return rows.where(F.col("_n") <= limit).select(*series.columns), rows.where(F.col("_n") > limit)
 
 
 def _highest_peak(r: np.ndarray) -> float:
@@ -90,8 +95,8 @@ def fourier(rows: DataFrame, key: Sequence[str], inverse: bool = False) -> DataF
         return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "j": k1 + n1 * np.arange(n2), "g": k1, "re": y.real, "im": y.imag, "bits": bits})
 
     cols = rows.select(*keys, "j", F.expr("j % shiftleft(1L, CAST(bits - floor(bits / 2) AS INT))").alias("g"), "re", "im", "bits")
-    first = cols.groupBy(*keys, "g").applyInPandas(columns, schema)
-    return first.groupBy(*keys, "g").applyInPandas(lines, schema).drop("g")
+    first = by_key(cols, [*keys, "g"]).groupBy(*keys, "g").applyInPandas(columns, schema)
+    return by_key(first, [*keys, "g"]).groupBy(*keys, "g").applyInPandas(lines, schema).drop("g")
 
 
 def _bits(n: Column) -> Column:
@@ -155,7 +160,7 @@ def gap_spectrum(series: DataFrame, key: Sequence[str], pos: str, value: str, li
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "periodicity_strength": [s], "dominant_frequency": [d], "spectral_entropy": [e]})
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", periodicity_strength double, dominant_frequency double, spectral_entropy double"
-    out = short.groupBy(*keys).applyInPandas(one, schema)
+    out = by_key(short, keys).groupBy(*keys).applyInPandas(one, schema)
     return out if long is None else out.unionByName(_long_spectrum(long, keys, pos, value))
 
 
@@ -189,10 +194,10 @@ def _long_phi(long: DataFrame, key: Sequence[str], pos: str, value: str, m: int,
     t = t.withColumn("slice", F.floor(F.element_at("_t", 1) / F.col("r")).cast("long"))
     data = t.select(*keys, F.explode(F.sequence(F.col("slice") - 1, F.col("slice") + 1)).alias("slice"), F.col("i").alias("di"), "_t")
 
-    def parts(frame: DataFrame, name: str) -> DataFrame:
+    def pieces(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy(*keys, "slice").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
 
-    plan = parts(t, "nq").join(parts(data, "nd"), [*keys, "slice"])
+    plan = pieces(t, "nq").join(pieces(data, "nd"), [*keys, "slice"])
     q = join_group_stats(t, plan, [*keys, "slice"], ["i"])
     d = join_group_stats(data, plan, [*keys, "slice"], ["di"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -209,7 +214,8 @@ def _long_phi(long: DataFrame, key: Sequence[str], pos: str, value: str, m: int,
         n = _matches(np.vstack(ask["_t"].to_numpy()), np.vstack(have["_t"].to_numpy()), float(ask["r"].iloc[0]))
         return pd.DataFrame({**{k: ask[k].to_numpy() for k in keys}, "i": ask["i"].to_numpy(), "total": ask["total"].to_numpy(), "n": n})
 
-    found = q.unionByName(d).groupBy(*keys, "slice", "pq", "pd").applyInPandas(count, schema)
+    parts = [*keys, "slice", "pq", "pd"]
+    found = by_key(q.unionByName(d), parts).groupBy(*parts).applyInPandas(count, schema)
     per = found.groupBy(*keys, "i").agg((F.sum("n") / F.first("total")).alias("c"))
     return per.groupBy(*keys).agg(F.avg(F.log(F.col("c") + F.lit(eps))).alias(f"phi{m}"))
 
@@ -240,7 +246,7 @@ def approximate_entropy(
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, name: [v]})
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{name}` double"
-    out = short.groupBy(*keys).applyInPandas(one, schema)
+    out = by_key(short, keys).groupBy(*keys).applyInPandas(one, schema)
     if long is None:
         return out
     flat = long.where(F.col("_sd") == 0).select(*keys).distinct().withColumn(name, F.lit(0.0))

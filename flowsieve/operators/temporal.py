@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowsieve.functions.columns import EPS, clip, equal_width_bin, safe_divide
 from flowsieve.operators.flows import ORDER, iat_with_previous, with_iat, zero
 from flowsieve.operators.ordering import (
-    block_window, group_quantiles, index_by_time, join_group_stats, with_look_back, with_previous,
+    block_window, group_quantiles, index_by_time, join_group_stats, join_heavy_stats, with_look_back, with_previous,
 )
 from flowsieve.operators.spectral import approximate_entropy, gap_spectrum
 
@@ -49,8 +49,8 @@ def gap_rhythm(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFra
 
 
 def size_sequence_entropy(packets: DataFrame, key: Sequence[str] = ("flow_id",), bins: int = 10) -> DataFrame:
-    stats = packets.groupBy(*key).agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    rows = join_group_stats(packets.select(*key, "pkt_id", "size"), stats, key, ["pkt_id"])
+    stats = packets.groupBy(*key).agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    rows = join_heavy_stats(packets.select(*key, "size"), stats, key, "rows")
     counts = rows.groupBy(*key, equal_width_bin(F.col("size"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(
         F.count(F.lit(1)).cast("double").alias("c")
     )
@@ -168,7 +168,7 @@ def fractal_dimension(packets: DataFrame, key: Sequence[str] = ("flow_id",), gri
     the slope of log(occupied boxes) over log(grid), within [1, 2]."""
     gaps = gap_series(packets, key)
     stats = gaps.groupBy(*key).agg(F.min("iat").alias("lo"), F.max("iat").alias("hi"), F.count(F.lit(1)).alias("n"))
-    rows = join_group_stats(gaps, stats, key, ["pos"]).withColumn("g", F.explode(F.array(*[F.lit(g) for g in grids])))
+    rows = join_heavy_stats(gaps, stats, key, "n").withColumn("g", F.explode(F.array(*[F.lit(g) for g in grids])))
     level = (F.col("iat") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS)
     boxes = rows.where(F.col("n") >= MIN_PACKETS).select(
         *key, "g", F.floor((F.col("pos") - 1) * F.col("g") / F.col("n")).alias("bx"), F.floor(level * F.col("g")).alias("by")

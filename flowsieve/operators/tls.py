@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowsieve.functions.columns import EPS, equal_width_bin
 from flowsieve.operators.flows import value_entropy, zero
-from flowsieve.operators.ordering import attach_row, index_by_time, join_group_stats
+from flowsieve.operators.ordering import attach_row, index_by_time, join_heavy_stats, spread_small
 
 # Key length by cipher name, names of weak ciphers, key exchanges with forward secrecy.
 CIPHER_BITS = [("AES_256", 256), ("AES_128", 128), ("CHACHA20", 256), ("RC4", 128), ("3DES", 112)]
@@ -32,7 +32,7 @@ def array_entropy(df: DataFrame, key: str, values: str, name: str) -> DataFrame:
 
 
 def certificate_entropy(
-    certs: DataFrame, key: Sequence[str], numbers: Sequence[str], spread: Sequence[str], bins: int = 10
+    certs: DataFrame, key: Sequence[str], numbers: Sequence[str], bins: int = 10
 ) -> DataFrame:
     """Entropy of the density histogram of all z-normalised certificate numbers of a flow; may be negative.
 
@@ -40,11 +40,11 @@ def certificate_entropy(
     width is rescaled. Equal numbers fall in one bin of width 0.1.
     """
     key = list(key)
-    cells = certs.select(*key, *spread, F.explode(F.array(*[F.col(c).cast("double") for c in numbers])).alias("x"))
+    cells = certs.select(*key, F.explode(F.array(*[F.col(c).cast("double") for c in numbers])).alias("x"))
     stats = cells.groupBy(*key).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_pop("x").alias("sd"), F.count("x").alias("total")
     )
-    binned = join_group_stats(cells, stats, key, [*spread, "x"]).groupBy(
+    binned = join_heavy_stats(cells, stats, key, "total").groupBy(
         *key, equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("sd").alias("sd"), F.first("total").alias("total"))
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("sd") / bins).otherwise(F.lit(1.0 / bins))
@@ -135,7 +135,7 @@ def byte_counts(payloads: DataFrame, key: str, payload: str = "payload") -> Data
                 at = np.flatnonzero(c)
                 yield pd.DataFrame({key: [k] * len(at), "byte": at.astype("int32"), "n": c[at].astype("int64")})
 
-    part = payloads.select(key, payload).mapInPandas(count, f"`{key}` {kind}, byte int, n bigint")
+    part = spread_small(payloads.select(key, payload)).mapInPandas(count, f"`{key}` {kind}, byte int, n bigint")
     return part.groupBy(key, "byte").agg(F.sum("n").alias("n"))
 
 
@@ -184,7 +184,7 @@ def pattern_score(payload: pd.Series) -> pd.Series:
 
 
 def pattern_regularity(payloads: DataFrame, key: str, payload: str = "payload") -> DataFrame:
-    scored = payloads.select(key, pattern_score(payload).alias("s"))
+    scored = spread_small(payloads.select(key, payload)).select(key, pattern_score(payload).alias("s"))
     return scored.groupBy(key).agg(zero(F.avg("s")).alias("pattern_regularity"))
 
 

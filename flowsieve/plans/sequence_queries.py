@@ -117,7 +117,7 @@ cert AS (SELECT flow_id, -sum(d * log2(d + 1e-10)) AS certificate_entropy FROM
 
 def _cert(spark, sf):
     lines = v.tls_lines(spark, sf).withColumn("issuer_length", F.length("issuer"))
-    return tls.certificate_entropy(lines, ["flow_id"], ["cert_size", "issuer_length", "validity_days"], ["pkt_id"])
+    return tls.certificate_entropy(lines, ["flow_id"], ["cert_size", "issuer_length", "validity_days"])
 
 
 @query("H02_certificate_entropy", f"WITH {v.TLS_LINES}, {CERT} SELECT flow_id, {st('certificate_entropy')} AS certificate_entropy FROM cert")
