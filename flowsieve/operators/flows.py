@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.functions.columns import EPS, MIN_DURATION, safe_divide
+from flowsieve.functions.columns import EPS, MIN_DURATION, magnitude_bucket
 from flowsieve.operators.ordering import (
-    TICK_SECONDS, block_window, group_quantiles, index_by_time, join_group_stats, join_heavy_stats, match_keys, melt, with_look_back,
-    with_previous,
+    TICK_SECONDS, block_window, group_quantiles, index_by_time, join_group_stats, join_heavy_stats, match_keys, melt,
+    running_totals, with_look_back, with_previous,
 )
 
 # The names counted per flow.
@@ -273,8 +273,6 @@ def graph_stats(edges: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFram
 
 def class_shares(df: DataFrame, by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
     """Count and percent per class, inside each ``within`` group or over all."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(*within, *by).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(*within)  # over one row per class
     return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(w))
@@ -312,8 +310,6 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Three weightings per class: n/(k n_c), the same scaled to sum 1, inverse frequency scaled to sum k."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy()  # over one row per class
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     k, total = F.count(F.lit(1)).over(w), F.sum("n").over(w)
@@ -372,9 +368,6 @@ def periodicity(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFr
 
 def percentile_ranks(df: DataFrame, row_key: str, columns: Sequence[str]) -> DataFrame:
     """Long form (row, feature, rank): average-tie rank over the non-NULL count."""
-    from flowsieve.functions.columns import magnitude_bucket
-    from flowsieve.operators.ordering import running_totals
-
     cells = melt(df, [row_key], columns).where(F.col("value").isNotNull())
     counts = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     cum = running_totals(counts, ["feature"], "value", ["n"], magnitude_bucket("value"))

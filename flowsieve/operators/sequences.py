@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsieve.operators.ordering import BLOCK_ROWS, TICK_SECONDS, block_window, index_by_time, with_look_back
+from flowsieve.operators.ordering import BLOCK_ROWS, TICK_SECONDS, attach_row, block_window, index_by_time, with_look_back
 
 # Window sizes of the multi-scale dataset.
 WINDOW_SIZES = [5, 10, 20, 50]
@@ -99,8 +99,6 @@ def flatten_sequences(df: DataFrame, window: int, n_features: int, column: str =
 
 def sequence_summary(df: DataFrame, column: str = "sequences", label: str = "label") -> DataFrame:
     """Shape, value statistics and share of positive labels of a sequence dataset."""
-    from flowsieve.operators.ordering import attach_row
-
     shape = df.agg(
         F.count(F.lit(1)).alias("n_sequences"), F.max(F.size(column)).alias("window"),
         F.max(F.size(F.element_at(column, 1))).alias("features"), F.avg((F.col(label) != 0).cast("int")).alias("positive_share"),
