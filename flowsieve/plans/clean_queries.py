@@ -198,7 +198,7 @@ def p21(spark, sf):
 
 
 @query("P22_float32", f"WITH {v.FLOWS} SELECT row_id, CAST(CAST(price AS FLOAT) AS DOUBLE) AS price, CAST(CAST(tax AS FLOAT) AS DOUBLE) AS tax FROM flows")
-def p22(spark, sf):
+def single_precision(spark, sf):
     f = cl.to_float32(v.flow_table(spark, sf))
     return f.select("row_id", F.col("price").cast("double").alias("price"), F.col("tax").cast("double").alias("tax"))
 
