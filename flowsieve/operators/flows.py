@@ -371,11 +371,9 @@ def percentile_ranks(df: DataFrame, row_key: str, columns: Sequence[str]) -> Dat
     cells = melt(df, [row_key], columns).where(F.col("value").isNotNull())
     counts = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     cum = running_totals(counts, ["feature"], "value", ["n"], magnitude_bucket("value"))
-    totals = counts.groupBy("feature").agg(F.sum("n").alias("total"))
-    ranks = match_keys(cum, totals, ["feature"]).select(
-        "feature", "value", "n", ((F.col("cum_n") - (F.col("n") - 1) / 2) / F.col("total")).alias("rank")
-    )
-    return join_heavy_stats(cells, ranks, ["feature", "value"], "n").select(row_key, "feature", "rank")
+    ranks = cum.select("feature", "value", "n", ((F.col("cum_n") - (F.col("n") - 1) / 2) / F.col("all_n")).alias("rank"))
+    ranked = join_heavy_stats(cells, ranks, ["feature", "value"], "n", counts.agg(F.sum("n")))
+    return ranked.select(row_key, "feature", "rank")
 
 
 def widen(long: DataFrame, key: Sequence[str], names: Mapping[str, str], value: str) -> DataFrame:

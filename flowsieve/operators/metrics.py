@@ -117,12 +117,7 @@ def score_curve(df: DataFrame, true: str = "y", score: str = "p", by: Sequence[s
         F.count_if(F.col(true) == 1).alias("pos"), F.count_if(F.col(true) != 1).alias("neg")
     )
     cum = running_totals(counts, by, "threshold", ["pos", "neg"], magnitude_bucket("threshold"), descending=True)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    if by:
-        out = match_keys(cum, totals, list(by))
-    else:
-        out = attach_row(cum, totals).select("*", "_s.*").drop("_s")
-    return out.withColumns({
+    return cum.withColumns({
         "tp": F.col("cum_pos"), "fp": F.col("cum_neg"),
         "fn": F.col("all_pos") - F.col("cum_pos"), "tn": F.col("all_neg") - F.col("cum_neg"),
     })

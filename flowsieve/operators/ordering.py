@@ -58,18 +58,24 @@ def join_group_stats(
 HOT_SHARE = 0.001
 
 
-def join_heavy_stats(rows: DataFrame, stats: DataFrame, key: Sequence[str], weight: str) -> DataFrame:
-    """Join stats that may be as many as the rows, without copying them.
+def join_heavy_stats(
+    rows: DataFrame, stats: DataFrame, key: Sequence[str], weight: str, total: DataFrame | None = None, salts: int = 64
+) -> DataFrame:
+    """Join stats that may be as many as the rows, copying only those of hot keys.
 
-    ``weight`` counts the rows of each key. Keys above a thousandth of all rows,
-    at most a thousand by construction, are broadcast; every other key is
-    small enough for one task of an ordinary join.
+    ``weight`` counts the rows of each key; ``total`` is a one-row frame with the
+    number of all rows, if it is known more cheaply. Keys above a thousandth of
+    all rows, at most a thousand by construction, are broadcast to mark their
+    rows; these spread over ``salts`` tasks. All other keys stay whole.
     """
-    total = stats.agg((F.sum(weight) * HOT_SHARE).alias("_limit")).scalar()
-    hot = stats.where(F.col(weight) > total)
-    warm = rows.join(F.broadcast(hot), list(key))
-    cold = rows.join(F.broadcast(hot.select(*key)), list(key), "left_anti").join(stats, list(key))
-    return warm.unionByName(cold)
+    everything = total if total is not None else stats.agg(F.sum(weight))
+    limit = everything.select((F.col(everything.columns[0]) * HOT_SHARE).alias("_limit")).scalar()
+    is_hot = F.col(weight) > limit
+    hot = stats.where(is_hot).select(*key, F.lit(True).alias("_hot"))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
+    marked = rows.join(F.broadcast(hot), list(key), "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return marked.drop("_hot").join(stats.withColumn("_salt", F.explode(copies)), [*key, "_salt"]).drop("_salt")
 
 
 def index_rows(
@@ -153,7 +159,7 @@ def block_window(key: Sequence[str], index: str = "rn"):
 def running_totals(
     df: DataFrame, key: Sequence[str], order: str, measures: Sequence[str], bucket: Column, descending: bool = False
 ) -> DataFrame:
-    """Inclusive running sum ``cum_<m>`` of each measure inside each key, in two levels.
+    """Inclusive running sum ``cum_<m>`` and total ``all_<m>`` of each measure inside each key, in two levels.
 
     ``df`` has one row per ``(key, order)`` value.
     """
@@ -161,8 +167,10 @@ def running_totals(
     b = df.withColumn("_b", bucket)
     sums = b.groupBy(*key, "_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = Window.partitionBy(*key).orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key)
     offsets = sums.select(
-        *key, "_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures]
+        *key, "_b", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_t_{m}").over(whole).alias(f"all_{m}") for m in measures],
     )
     inside = (
         Window.partitionBy(*key, "_b").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
