@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsieve.llm import packing, sharding, simhash
+from flowsieve.llm import langid, packing, quality, sharding, simhash
 from flowsieve.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,16 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer_file("word_bpe_49k.json"))
 
 
+@query("op2_langid")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(documents(spark, sf))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.resample(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 @query("op6_sharding")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf), 24)
