@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsieve.llm import langid, packing, quality, sharding, simhash
+from flowsieve.llm import bloomlm, langid, packing, quality, sharding, simhash, syncmers, vectorgraph
 from flowsieve.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,21 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf), 24)
 
 
+@query("op7_vectorgraph")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return vectorgraph.near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op8_syncmers")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return syncmers.fingerprint_documents(documents(spark, sf))
+
+
+@query("op9_bloomlm")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return bloomlm.score_documents(documents(spark, sf))
+
+
 @query("op10_simhash")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     groups = simhash.simhash_groups(documents(spark, sf), words=4, distance=4)
