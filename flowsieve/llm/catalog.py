@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowsieve.llm import bloomlm, langid, packing, quality, sharding, simhash, syncmers, vectorgraph
+from flowsieve.llm import bloomlm, langid, licenses, packing, pieces, quality, sharding, simhash, syncmers, vectorgraph
 from flowsieve.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,16 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(documents(spark, sf))
 
 
+@query("op3_pieces")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.segment(documents(spark, sf), tokenizer_file("piece_bpe_32k.model"), 4)
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf))
+
+
 @query("op5_quality")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return quality.resample(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
