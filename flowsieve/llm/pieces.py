@@ -14,6 +14,7 @@ import heapq
 import math
 import re
 import zlib
+from bisect import insort
 from functools import lru_cache
 
 import numpy as np
@@ -82,10 +83,11 @@ class Lattice:
                     top = value
             best[end] = top
         out, serial = [], 0
-        # (minus the score of the whole, position, order of insertion, score of the suffix, its ids as a chain)
+        # (minus the score of the whole, position, order of insertion, score of the suffix, its ids as a chain), best first.
+        # Every entry leads to a whole text of exactly its score, and no two to the same one, so more than are still wanted need not wait.
         agenda = [(-best[size], size, 0, 0, None)]
         while agenda and len(out) < n:
-            whole, at, _, suffix, chain = heapq.heappop(agenda)
+            whole, at, _, suffix, chain = agenda.pop(0)
             if not at:
                 ids: list[int] = []
                 while chain:
@@ -93,9 +95,16 @@ class Lattice:
                     chain = chain[1]
                 out.append((-whole, tuple(ids)))
                 continue
+            room = n - len(out)
             for begin, value, own in into[at]:
+                value += suffix
                 serial += 1
-                heapq.heappush(agenda, (-(best[begin] + value + suffix), begin, serial, value + suffix, (own, chain)))
+                entry = (-(best[begin] + value), begin, serial, value, (own, chain))
+                if len(agenda) < room:
+                    insort(agenda, entry)
+                elif entry < agenda[-1]:
+                    agenda.pop()
+                    insort(agenda, entry)
         return out
 
     def index(self, text: str) -> list[int]:
