@@ -121,7 +121,10 @@ def flow_table(spark: SparkSession, sf: str) -> DataFrame:
     """Flow records: four numeric features, a class, a scenario and a unique id."""
     li = table(spark, sf, "lineitem")
     return li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(F.to_date("l_shipdate")),
+            F.round(F.col("l_extendedprice") * 100).cast("long"),
+        ).alias("row_id"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_extendedprice").alias("price"),
         F.col("l_discount").alias("discount"),
@@ -134,7 +137,8 @@ def flow_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FLOWS = """flows AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, l_quantity AS quantity,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, epoch_us(l_shipdate) // 86400000000,
+                   CAST(round(l_extendedprice * CAST(100 AS DOUBLE)) AS BIGINT)) AS row_id, l_quantity AS quantity,
          l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_linenumber AS line,
          l_returnflag AS label, l_linestatus AS scenario, CAST(l_returnflag = 'R' AS INTEGER) AS attack
   FROM lineitem)"""
