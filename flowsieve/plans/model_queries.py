@@ -134,10 +134,12 @@ def s10(spark, sf):
     return settle(sf_.run_and_read(spark, scored, scratch_path(spark, "results"), "json").drop("recommendation"))
 
 
-@query("N07_stream_reuse")
+@query("N07_stream_reuse", f"""WITH {v.PACKETS} SELECT DISTINCT md5(concat_ws(':', src_ip, dst_ip, dst_port)) AS fingerprint,
+ CAST(floor(t / {sf_.REUSE_SECONDS}) AS BIGINT) AS reuse_window FROM packets""")
 def n07b(spark, sf):
     p = v.packet_stream(spark, sf).withColumn("fingerprint", F.md5(F.concat_ws(":", "src_ip", "dst_ip", "dst_port")))
-    return sf_.run_and_read(spark, sf_.first_in_ttl(p.select("pkt_id", "fingerprint", "ts"), "fingerprint"), scratch_path(spark, "reuse"))
+    computed = sf_.run_and_read(spark, sf_.first_in_ttl(p.select("pkt_id", "fingerprint", "ts"), "fingerprint"), scratch_path(spark, "reuse"))
+    return computed.select("fingerprint", F.floor(F.unix_micros("ts") / F.lit(sf_.REUSE_SECONDS * 1000000)).alias("reuse_window"))
 
 
 # -- robustness: fixed weights over features in [0, 1] ---------------------------------------------

@@ -52,8 +52,13 @@ def alerts_of(scored: DataFrame) -> DataFrame:
 
 
 def first_in_ttl(requests: DataFrame, fingerprint: str, ts: str = "ts", seconds: int = REUSE_SECONDS) -> DataFrame:
-    """Requests to compute: equal fingerprints within the reuse time are dropped from the stream."""
-    return requests.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark([fingerprint])
+    """Requests to compute: the first of each fingerprint in each aligned window of the reuse time, as in ``alerts.reuse_results``.
+
+    Which windows there are depends on the times alone, so how requests fall into micro-batches changes nothing
+    about the number of requests per fingerprint and window. Requests without a time are not windowed and drop out at the watermark.
+    """
+    timed = requests.withWatermark(ts, f"{seconds} seconds").withColumn("_w", F.floor(F.unix_micros(ts) / F.lit(seconds * 1000000)))
+    return timed.dropDuplicatesWithinWatermark([fingerprint, "_w"]).drop("_w")
 
 
 def traffic_counters(packets: DataFrame, by: Sequence[str] = (), every: str = "1 minute", delay: str | None = None, ts: str = "ts") -> DataFrame:
