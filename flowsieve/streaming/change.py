@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,63 +22,71 @@ SCORE_WINDOW, SCORE_LEAST, SCORE_STDS, ADAPT_RATE = 500, 50, 3.0, 0.1
 NOVELTY_SHARE = 0.95
 
 
-class DriftState:
-    """Error windows of one stream: the reference and the current one."""
-
-    def __init__(self, size: int, drift: float, warning: float) -> None:
-        self.size, self.drift_limit, self.warning_limit = size, drift, warning
-        self.reference: list[int] = []
-        self.current: deque[int] = deque(maxlen=size)
-        self.drift = self.warning = False
-
-    def update(self, error: int) -> bool:
-        """Add an error (0 or 1); True when this very sample reveals a drift."""
-        self.current.append(error)
-        if len(self.current) < self.size // 2:
-            return False
-        if not self.reference:
-            self.reference = list(self.current)
-            return False
-        diff = abs(sum(self.current) / len(self.current) - sum(self.reference) / len(self.reference))
-        if diff > self.drift_limit:
-            self.drift, self.warning = True, False
-            self.reference = list(self.current)
-            self.current.clear()
-            return True
-        self.warning = diff > self.warning_limit
-        return False
-
-    def pack(self) -> tuple:
-        return bytes(self.reference), bytes(self.current), self.drift, self.warning
-
-    def unpack(self, packed: tuple) -> None:
-        self.reference, self.drift, self.warning = list(packed[0]), packed[2], packed[3]
-        self.current = deque(packed[1], maxlen=self.size)
-
-
-class ThresholdState:
-    """Recent scores of one stream and its moving threshold."""
-
-    def __init__(self, size: int, least: int, stds: float, rate: float) -> None:
-        self.scores: deque[float] = deque(maxlen=size)
-        self.least, self.stds, self.rate = least, stds, rate
-        self.threshold: float | None = None
-
-    def update(self, score: float) -> bool:
-        self.scores.append(score)
-        if len(self.scores) < self.least:
-            return False
-        x = np.fromiter(self.scores, dtype=float)
-        fresh = float(x.mean() + self.stds * x.std())
-        self.threshold = fresh if self.threshold is None else (1 - self.rate) * self.threshold + self.rate * fresh
-        return score > self.threshold
-
-    def pack(self) -> tuple:
-        return np.fromiter(self.scores, dtype=float).tobytes(), self.threshold
-
-    def unpack(self, packed: tuple) -> None:
-        self.scores = deque(np.frombuffer(packed[0]).tolist(), maxlen=self.scores.maxlen)
-        self.threshold = packed[1]
+#: Samples evaluated at once.
+STEP_ROWS = 1024
+
+
+def drift_steps(errors: np.ndarray, past: tuple, size: int, drift: float, warning: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(drift now, any drift so far, warning) of ordered errors (0 or 1), and the state after them.
+
+    The state is (errors, samples) of the reference, the last samples since the reference was replaced (at most ``size``) and
+    whether there was a drift. The moving error rates of a stretch are differences of one running sum; the first rate
+    that is too far off ends the stretch, and its window becomes the reference.
+    """
+    wrong, counted, recent, drifted = past
+    half = max(1, size // 2)
+    now, ever, warned = np.zeros(len(errors), bool), np.zeros(len(errors), bool), np.zeros(len(errors), bool)
+    at = 0
+    while at < len(errors):
+        stretch = np.concatenate([recent, errors[at : at + STEP_ROWS + size]]).astype(np.int64)
+        sums, old = np.concatenate([[0], np.cumsum(stretch)]), len(recent)
+        if not counted and len(stretch) >= half:
+            wrong, counted = int(sums[half]), half
+            judged = np.arange(max(old, half), len(stretch))
+        else:
+            judged = np.arange(max(old, half - 1), len(stretch)) if counted else np.zeros(0, int)
+        begin = np.maximum(judged + 1 - size, 0)
+        inside = sums[judged + 1] - sums[begin]
+        gap = np.abs(inside / (judged + 1 - begin) - wrong / max(counted, 1))
+        hits = np.flatnonzero(gap > drift)
+        end = int(judged[hits[0]]) + 1 if len(hits) else len(stretch)
+        seen = judged < end - bool(len(hits))
+        warned[at + judged[seen] - old] = gap[seen] > warning
+        ever[at : at + end - old] = drifted
+        at += end - old
+        if len(hits):
+            drifted = now[at - 1] = ever[at - 1] = True
+            wrong, counted = int(inside[hits[0]]), int(end - begin[hits[0]])
+            recent = np.zeros(0, np.uint8)
+        else:
+            recent = stretch[-size:].astype(np.uint8)
+    return now, ever, warned, (wrong, counted, recent, bool(drifted))
+
+
+def threshold_steps(scores: np.ndarray, past: tuple, size: int, least: int, stds: float, rate: float) -> tuple[np.ndarray, tuple]:
+    """Moving thresholds of ordered scores (NaN before ``least`` of them), and the state (last scores, threshold) after them.
+
+    The threshold is a sum of mean + deviations of the window with weights that shrink by ``1 - rate`` per sample, so a step of
+    samples is one scaled running sum; steps are short enough for the scale to stay within a double.
+    """
+    recent, last = past
+    keep = 1.0 - rate
+    step = min(STEP_ROWS, int(200 / -np.log10(keep)) + 1 if 0 < keep < 1 else STEP_ROWS if keep else 1)
+    out = np.full(len(scores), np.nan)
+    for at in range(0, len(scores), step):
+        known = np.concatenate([recent, scores[at : at + step]])
+        n = len(known) - len(recent)
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size - 1, np.nan), known]), size)[-n:]
+        first = max(0, least - 1 - len(recent))
+        recent = known[-size:]
+        if first >= n:
+            continue
+        fresh = np.nanmean(windows[first:], axis=1) + stds * np.nanstd(windows[first:], axis=1)
+        scale = keep ** np.arange(len(fresh))
+        before = fresh[0] if last is None else last
+        out[at + first : at + n] = scale * (keep * before + rate * np.cumsum(fresh / scale))
+        last = float(out[at + n - 1])
+    return out, (recent, last)
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -94,28 +101,23 @@ def stream_drift(
     """Per sample: ``drift_now``, the sticky ``drift`` flag and ``warning``, per stream key.
 
     Samples of a micro-batch are ordered by event time; the state of a key is
-    at most two windows of one byte per sample.
+    one window of one byte per sample and two counts.
     """
     order = list(order)
     kinds = dict(stream.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        d = DriftState(size, drift, warning)
-        if state.exists:
-            d.unpack(state.get)
+        wrong, counted, recent, drifted = state.get if state.exists else (0, 0, b"", False)
         pdf = _ordered(batches, order)
-        flags = []
-        for e in pdf[error]:
-            now = d.update(int(e))
-            flags.append((now, d.drift, d.warning))
-        state.update(d.pack())
-        out = pd.DataFrame(flags, columns=["drift_now", "drift", "warning"])
-        yield pd.concat([pdf[[key, *order]].reset_index(drop=True), out], axis=1)
+        past = (wrong, counted, np.frombuffer(recent, np.uint8), drifted)
+        now, ever, warned, (wrong, counted, recent, drifted) = drift_steps(pdf[error].to_numpy(np.int64), past, size, drift, warning)
+        state.update((wrong, counted, recent.tobytes(), drifted))
+        yield pdf[[key, *order]].reset_index(drop=True).assign(drift_now=now, drift=ever, warning=warned)
 
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order])
     return stream.select(key, *order, error).groupBy(key).applyInPandasWithState(
         step, f"{columns}, drift_now boolean, drift boolean, warning boolean",
-        "reference binary, current binary, drift boolean, warning boolean", "append", GroupStateTimeout.NoTimeout,
+        "wrong bigint, counted bigint, recent binary, drift boolean", "append", GroupStateTimeout.NoTimeout,
     )
 
 
@@ -128,17 +130,12 @@ def stream_adaptive_threshold(
     kinds = dict(stream.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        d = ThresholdState(size, least, stds, rate)
-        if state.exists:
-            d.unpack(state.get)
+        recent, last = state.get if state.exists else (b"", None)
         pdf = _ordered(batches, order)
-        rows = []
-        for s in pdf[score]:
-            hit = d.update(float(s))
-            rows.append((d.threshold, hit))
-        state.update(d.pack())
-        out = pd.DataFrame(rows, columns=["threshold", "anomaly"]).astype({"threshold": "float64"})
-        yield pd.concat([pdf[[key, *order]].reset_index(drop=True), out], axis=1)
+        values = pdf[score].to_numpy(float)
+        limits, (recent, last) = threshold_steps(values, (np.frombuffer(recent), last), size, least, stds, rate)
+        state.update((recent.tobytes(), last))
+        yield pdf[[key, *order]].reset_index(drop=True).assign(threshold=pd.Series(limits).where(~np.isnan(limits)), anomaly=values > limits)
 
     columns = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *order])
     return stream.select(key, *order, score).groupBy(key).applyInPandasWithState(

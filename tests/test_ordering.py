@@ -128,9 +128,31 @@ def test_adaptive_threshold_replays_the_detector(df, rows):
     got = got.toPandas().sort_values(["flow_id", "t", "pkt_id"])
     want = []
     for _, part in rows.groupby("flow_id"):
-        d = ch.ThresholdState(50, 20, 3.0, 0.1)
-        for s in part["size"]:
-            hit = d.update(s)
-            want.append((d.threshold, hit))
-    assert np.allclose(got["threshold"].fillna(-1), [-1 if w[0] is None else w[0] for w in want])
-    assert got["anomaly"].tolist() == [w[1] for w in want]
+        want += plain_thresholds(part["size"].to_numpy(), 50, 20, 3.0, 0.1)
+    assert np.allclose(got["threshold"], want, equal_nan=True)
+    assert got["anomaly"].tolist() == (got["size"].to_numpy() > np.array(want)).tolist()
+
+
+def plain_thresholds(x, size, least, stds, rate):
+    """The moving threshold from the whole history, one sample at a time; NaN before ``least`` samples."""
+    out, last = [], None
+    for i in range(len(x)):
+        window = x[max(0, i + 1 - size) : i + 1]
+        if len(window) < least:
+            out.append(np.nan)
+            continue
+        fresh = window.mean() + stds * window.std()
+        last = fresh if last is None else (1 - rate) * last + rate * fresh
+        out.append(last)
+    return out
+
+
+def test_threshold_steps_do_not_depend_on_the_cut():
+    x = np.random.default_rng(5).gamma(2, 3, 3000)
+    want = plain_thresholds(x, 100, 50, 3.0, 0.1)
+    for cuts in ([0, 3000], [0, 5, 49, 50, 2000, 3000], [*range(0, 3000, 7), 3000]):
+        past, got = (np.zeros(0), None), []
+        for a, b in zip(cuts, cuts[1:]):
+            out, past = ch.threshold_steps(x[a:b], past, 100, 50, 3.0, 0.1)
+            got += out.tolist()
+        assert np.allclose(got, want, rtol=1e-11, equal_nan=True) and len(past[0]) == 100
