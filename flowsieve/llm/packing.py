@@ -12,6 +12,7 @@ within ``length`` before j: a sliding minimum, kept by a monotone queue.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from functools import lru_cache
 
@@ -49,7 +50,7 @@ class WordTokenizer:
         for token, i in self.tokenizer.get_vocab().items():
             word = token.removesuffix("</w>")
             self.ends[i] = token.endswith("</w>") and word[-1:] in ".!?"
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}  # unsigned 32-bit ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
@@ -60,10 +61,10 @@ class WordTokenizer:
         for at in range(0, len(need), 4096):
             part = need[at : at + 4096]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, np.uint32)
+                self.known[word] = array("I", e.ids).tobytes()
         known = self.known
-        end = np.array([END_ID], np.uint32)
-        return [np.concatenate([*[known[w] for w in words], end]) for words in split]
+        end = array("I", [END_ID]).tobytes()
+        return [np.frombuffer(b"".join([known[w] for w in words]) + end, np.uint32) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +79,7 @@ def candidates(ids: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple
     """Cuts inside one document, its end included: positions and penalties, ascending."""
     n = len(ids)
     sentence = np.flatnonzero(ends[ids[:-1]]) + 1
-    bounds = np.unique(np.concatenate([sentence, [n]]))
+    bounds = np.append(sentence, n)
     begin = np.concatenate([[0], bounds[:-1]])
     inner = (bounds - begin - 1) // stride
     long = np.flatnonzero(inner)
