@@ -52,13 +52,12 @@ def number(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
 
 def with_siblings(level: DataFrame) -> DataFrame:
     """A level (grp, pos, n, digest, ...) with ``left`` and ``right``: the digests of the other nodes of the run, joined."""
-    slot = F.col("pos") % ARITY
-    run = F.least(F.lit(ARITY), F.col("n") - (F.col("pos") - slot))
-    blocks = level.withColumn("_block", F.floor(F.col("pos") / (ARITY * BLOCK_RUNS)))
-    near = Window.partitionBy("grp", "_block").orderBy("pos")
-    left = [F.when(slot >= j, F.lag("digest", j).over(near)).otherwise("") for j in range(ARITY - 1, 0, -1)]
-    right = [F.when(slot + j < run, F.lead("digest", j).over(near)).otherwise("") for j in range(1, ARITY)]
-    return blocks.select("*", F.concat(*left).alias("left"), F.concat(*right).alias("right")).drop("_block")
+    slot, run = f"(pos % {ARITY})", f"least({ARITY}, n - (pos - pos % {ARITY}))"
+    near = "OVER (PARTITION BY grp, _block ORDER BY pos)"
+    left = [f"IF({slot} >= {j}, lag(digest, {j}) {near}, '')" for j in range(ARITY - 1, 0, -1)]
+    right = [f"IF({slot} + {j} < {run}, lead(digest, {j}) {near}, '')" for j in range(1, ARITY)]
+    blocks = level.withColumn("_block", F.expr(f"pos div {ARITY * BLOCK_RUNS}"))
+    return blocks.selectExpr("*", f"concat({', '.join(left)}) AS left", f"concat({', '.join(right)}) AS right").drop("_block")
 
 
 def parents(level: DataFrame) -> DataFrame:
