@@ -21,27 +21,11 @@ def stable(c: str | Column) -> Column:
     return (F.round(col(c).cast("double"), 9) + F.lit(0.0)).cast("float").cast("double")
 
 
-def magnitude_bucket(c: str | Column, resolution: int = 1024) -> Column:
-    """Order-preserving bucket number of any finite double.
-
-    Monotone in ``c`` and independent of the data, so every task and every
-    retry agrees on it. A doubling of the value spans ``resolution`` buckets;
-    the bucket count is at most ``2 * 1024 * resolution`` whatever the data.
-    """
-    x = col(c).cast("double")
-    return F.floor(F.signum(x) * F.log2(F.lit(1.0) + F.abs(x)) * F.lit(float(resolution))).cast("long")
-
-
 def time_bucket(c: str | Column, seconds: float) -> Column:
     """Order-preserving bucket number of an epoch-seconds column."""
     return F.floor(col(c) / F.lit(float(seconds))).cast("long")
 
 
-def hash_bucket(c: str | Column, digits: int = 3) -> Column:
-    """Order-preserving bucket of a hex digest: its leading digits."""
-    return F.substring(col(c), 1, digits)
-
-
 def finite_or_null(c: str | Column) -> Column:
     """NaN and both infinities become NULL."""
     x = col(c)

@@ -220,7 +220,7 @@ def encryption_flag(path: str | Column) -> Column:
 def fit_label_codes(df: DataFrame, column: str) -> DataFrame:
     """(value, code): rank of each distinct value in sorted order, from 0."""
     values = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct()
-    ranked = index_rows(values, [], ["value"], F.substring("value", 1, 3), "code")
+    ranked = index_rows(values, [], ["value"], "code")
     return ranked.select("value", (F.col("code") - 1).alias("code"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.functions.columns import EPS, MIN_DURATION, magnitude_bucket
+from flowsieve.functions.columns import EPS, MIN_DURATION
 from flowsieve.operators.ordering import (
-    TICK_SECONDS, block_window, group_quantiles, index_by_time, join_group_stats, join_heavy_stats, match_keys, melt,
+    block_window, group_quantiles, index_rows, join_group_stats, join_heavy_stats, match_keys, melt,
     running_totals, with_look_back, with_previous,
 )
 
@@ -29,11 +29,10 @@ def zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-def with_iat(packets: DataFrame, key: Sequence[str] = ("flow_id",), order: Sequence[str] = ORDER,
-             tick: float = TICK_SECONDS) -> DataFrame:
+def with_iat(packets: DataFrame, key: Sequence[str] = ("flow_id",), order: Sequence[str] = ORDER) -> DataFrame:
     """Add ``iat``: seconds since the packet before it in the flow, NULL for the first."""
     t = order[0]
-    return with_previous(packets, key, order, [t], tick).withColumn("iat", F.col(t) - F.col(f"prev_{t}")).drop(f"prev_{t}")
+    return with_previous(packets, key, order, [t]).withColumn("iat", F.col(t) - F.col(f"prev_{t}")).drop(f"prev_{t}")
 
 
 # -- aggregate lists: combine any of them in one groupBy -------------------------------------------
@@ -324,7 +323,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def rolling_stats(packets: DataFrame, key: Sequence[str] = ("flow_id",), window: int = 10) -> DataFrame:
     """Mean of rolling means and stds, max and min over full windows of ``window`` packets."""
-    rows = with_look_back(index_by_time(packets, key, ORDER), key, window - 1)
+    rows = with_look_back(index_rows(packets, key, ORDER), key, window - 1)
     w = block_window(key).rowsBetween(1 - window, 0)
     rows = rows.select(
         *key, "rn", "_ghost", F.avg("size").over(w).alias("m"), F.stddev_samp("size").over(w).alias("s"),
@@ -350,7 +349,7 @@ def burst_stats(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFr
 
 def iat_with_previous(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
     """Rows with ``iat`` and ``prev_iat``."""
-    rows = with_look_back(index_by_time(packets, key, ORDER), key, 2)
+    rows = with_look_back(index_rows(packets, key, ORDER), key, 2)
     w = block_window(key)
     one, two = F.lag("t", 1).over(w), F.lag("t", 2).over(w)
     rows = rows.withColumn("iat", F.col("t") - one).withColumn("prev_iat", one - two)
@@ -370,7 +369,7 @@ def percentile_ranks(df: DataFrame, row_key: str, columns: Sequence[str]) -> Dat
     """Long form (row, feature, rank): average-tie rank over the non-NULL count."""
     cells = melt(df, [row_key], columns).where(F.col("value").isNotNull())
     counts = cells.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = running_totals(counts, ["feature"], "value", ["n"], magnitude_bucket("value"))
+    cum = running_totals(counts, ["feature"], "value", ["n"])
     ranks = cum.select("feature", "value", "n", ((F.col("cum_n") - (F.col("n") - 1) / 2) / F.col("all_n")).alias("rank"))
     ranked = join_heavy_stats(cells, ranks, ["feature", "value"], "n", counts.agg(F.sum("n")))
     return ranked.select(row_key, "feature", "rank")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.functions.columns import EPS, equal_width_bin, magnitude_bucket, safe_divide
+from flowsieve.functions.columns import EPS, equal_width_bin, safe_divide
 from flowsieve.operators.ordering import attach_row, column_quantiles, match_keys, running_totals
 
 # KPI targets and the weight of each KPI in the overall score.
@@ -116,7 +116,7 @@ def score_curve(df: DataFrame, true: str = "y", score: str = "p", by: Sequence[s
     counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(true) == 1).alias("pos"), F.count_if(F.col(true) != 1).alias("neg")
     )
-    cum = running_totals(counts, by, "threshold", ["pos", "neg"], magnitude_bucket("threshold"), descending=True)
+    cum = running_totals(counts, by, "threshold", ["pos", "neg"], descending=True)
     return cum.withColumns({
         "tp": F.col("cum_pos"), "fp": F.col("cum_neg"),
         "fn": F.col("all_pos") - F.col("cum_pos"), "tn": F.col("all_neg") - F.col("cum_neg"),

@@ -2,9 +2,9 @@
 
 A plain ``Window.partitionBy(key).orderBy(...)`` sorts each key in one task,
 which fails as soon as one flow holds a large share of all rows. The kernels
-here cut each key into order-preserving buckets (a time slice, a magnitude
-band, the head of a digest), work inside ``(key, bucket)``, and carry what
-must cross a bucket edge through a summary with one row per ``(key, bucket)``.
+here cut each key into order-preserving slices that follow the data
+(``slices.with_slices``), work inside ``(key, slice)``, and carry what must cross
+a slice edge through a summary with one row per ``(key, slice)``.
 """
 
 from __future__ import annotations
@@ -13,9 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.functions.columns import magnitude_bucket, time_bucket
+from flowsieve.operators.slices import with_slices
 
-TICK_SECONDS = 3600.0
 BLOCK_ROWS = 4096
 
 
@@ -79,14 +78,12 @@ def join_heavy_stats(
 
 
 def index_rows(
-    df: DataFrame, key: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str = "rn",
-    null_safe: bool = False, total: str | None = None,
+    df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "rn", null_safe: bool = False, total: str | None = None,
 ) -> DataFrame:
     """Dense 1-based row number inside each key (or over the whole table when
-    ``key`` is empty). ``bucket`` must be monotone in the first order column.
-    ``total`` names a further column for the number of rows of the key, which
-    comes along at no extra cost."""
-    b = df.withColumn("_b", bucket)
+    ``key`` is empty), NULLs of the order first. ``total`` names a further column for
+    the number of rows of the key, which comes along at no extra cost."""
+    b = with_slices(df, key, order)
     totals = b.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     size = [F.sum("_n").over(Window.partitionBy(*key)).alias(total)] if total else []
@@ -99,37 +96,26 @@ def index_rows(
     )
 
 
-def index_by_time(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], tick: float = TICK_SECONDS, name: str = "rn"
-) -> DataFrame:
-    return index_rows(df, key, order, time_bucket(order[0], tick), name)
-
-
 def with_previous(
-    df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str],
-    tick: float = TICK_SECONDS, prefix: str = "prev_",
+    df: DataFrame, key: Sequence[str], order: Sequence[str], columns: Sequence[str], prefix: str = "prev_", keep_slice: bool = False,
 ) -> DataFrame:
-    """``lag(1)`` of ``columns`` inside each key, ordered by ``order`` (first entry:
-    epoch seconds). Rows travel once, to their ``(key, time slice)``; the last
-    row of the slice before comes from a per-slice summary."""
-    b = df.withColumn("_b", time_bucket(order[0], tick))
+    """``lag(1)`` of ``columns`` inside each key, ordered by ``order``, NULLs first. Rows travel
+    once, to their ``(key, slice)``; the last row of the slice before comes from a per-slice summary.
+    ``keep_slice`` leaves the slice number in ``_b``."""
+    b = with_slices(df, key, order)
+    tail = F.max(F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in columns])).alias("_tail")
+    carried = {c: F.col(f"_carry._v_{c}") for c in columns}
     if list(columns) == [order[0]]:
         # a plain maximum stays in the hash aggregate; a struct would need a sort
-        tail = F.max(order[0]).alias("_tail")
-        carried = {order[0]: F.col("_carry")}
-    else:
-        tail = F.max(F.struct(*order, *[F.col(c).alias(f"_v_{c}") for c in columns])).alias("_tail")
-        carried = {c: F.col(f"_carry._v_{c}") for c in columns}
+        tail, carried = F.max(order[0]).alias("_tail"), {order[0]: F.col("_carry")}
     last = b.groupBy(*key, "_b").agg(tail)
     across = Window.partitionBy(*key).orderBy("_b")
     carry = last.select(*key, "_b", F.lag("_tail").over(across).alias("_carry"))
     inside = Window.partitionBy(*key, "_b").orderBy(*order)
     joined = match_keys(b, carry, [*key, "_b"]).withColumn("_first", F.row_number().over(inside) == 1)
     for c in columns:
-        joined = joined.withColumn(
-            prefix + c, F.when(F.col("_first"), carried[c]).otherwise(F.lag(c).over(inside))
-        )
-    return joined.drop("_b", "_carry", "_first")
+        joined = joined.withColumn(prefix + c, F.when(F.col("_first"), carried[c]).otherwise(F.lag(c).over(inside)))
+    return joined.drop("_carry", "_first") if keep_slice else joined.drop("_b", "_carry", "_first")
 
 
 def with_look_back(df: DataFrame, key: Sequence[str], rows: int, block: int = BLOCK_ROWS, index: str = "rn") -> DataFrame:
@@ -157,14 +143,14 @@ def block_window(key: Sequence[str], index: str = "rn"):
 
 
 def running_totals(
-    df: DataFrame, key: Sequence[str], order: str, measures: Sequence[str], bucket: Column, descending: bool = False
+    df: DataFrame, key: Sequence[str], order: str, measures: Sequence[str], descending: bool = False
 ) -> DataFrame:
     """Inclusive running sum ``cum_<m>`` and total ``all_<m>`` of each measure inside each key, in two levels.
 
     ``df`` has one row per ``(key, order)`` value.
     """
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    b = df.withColumn("_b", bucket)
+    b = with_slices(df, key, [order], one_number=True)
     sums = b.groupBy(*key, "_b").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = Window.partitionBy(*key).orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
@@ -193,7 +179,7 @@ def _holds(low: str, high: str, r: Column) -> Column:
 
 
 def _wanted_bands(bands: DataFrame, key: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """From (key, _b, _n), the bands which hold a wanted rank, with the rows below them (_lo) and in all (_all)."""
+    """From (key, _b, _n), the slices which hold a wanted rank, with the rows below them (_lo) and in all (_all)."""
     upto = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*key)
     bands = bands.select(
@@ -224,16 +210,12 @@ def _pick_quantiles(counts: DataFrame, key: Sequence[str], probs: Sequence[float
 def group_quantiles(df: DataFrame, key: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, columns ``p5``, ``p50``, ...
 
-    Rows collapse to (key, value, count) before they travel; only the magnitude
-    bands which hold a wanted rank are then ordered, each in its own task.
+    Rows collapse to (key, value, count) before they travel; only the slices
+    which hold a wanted rank are then ordered, each in its own task.
     """
     key = list(key)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*key, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_b", magnitude_bucket("_v"))
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = with_slices(counts, key, ["_v"], one_number=True)
     bands = _wanted_bands(counts.groupBy(*key, "_b").agg(F.sum("_n").alias("_n")), key, probs)
     return _pick_quantiles(match_keys(counts, bands, [*key, "_b"]), key, probs)
 
@@ -248,14 +230,12 @@ def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFram
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """One row ``<column>_p<q>`` of exact quantiles of several columns.
 
-    The first pass counts magnitude bands, which shrinks to a few rows per task;
-    the second keeps only values in the bands that hold a wanted rank. Those are
-    at most two per column and quantile, so they are broadcast and almost no
-    value is shuffled.
+    The first pass counts slices, which shrinks to a few rows per task; the second
+    keeps only values in the slices that hold a wanted rank. Those are at most two
+    per column and quantile, so they are broadcast and almost no value is shuffled.
     """
-    cells = melt(df, [], columns).where(F.col("value").isNotNull()).select(
-        "feature", F.col("value").alias("_v"), magnitude_bucket("value").alias("_b")
-    )
+    cells = melt(df, [], columns).where(F.col("value").isNotNull()).select("feature", F.col("value").alias("_v"))
+    cells = with_slices(cells, ["feature"], ["_v"], one_number=True)
     bands = _wanted_bands(cells.groupBy("feature", "_b").agg(F.count(F.lit(1)).alias("_n")), ["feature"], probs)
     inside = cells.join(F.broadcast(bands), ["feature", "_b"]).groupBy("feature", "_b", "_v", "_lo", "_all").agg(
         F.count(F.lit(1)).alias("_n")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsieve.functions.columns import hash_bucket
 from flowsieve.operators.ordering import attach_row, index_rows
 
 
@@ -22,7 +21,7 @@ def unit_hash(key: str | Column) -> Column:
 def rank_by_hash(df: DataFrame, key: str, within: Sequence[str] = (), name: str = "rn", total: str | None = None) -> DataFrame:
     """1-based position inside each class in the order of the digest; ``total`` adds the class size."""
     h = df.withColumn("_h", row_hash(key))
-    return index_rows(h, list(within), ["_h", key], hash_bucket("_h"), name, null_safe=True, total=total).drop("_h")
+    return index_rows(h, list(within), ["_h", key], name, null_safe=True, total=total).drop("_h")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.15, validation: float = 0.15) -> DataFrame:

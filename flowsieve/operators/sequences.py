@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flowsieve.operators.ordering import BLOCK_ROWS, TICK_SECONDS, attach_row, block_window, index_by_time, with_look_back
+from flowsieve.operators.ordering import BLOCK_ROWS, attach_row, block_window, index_rows, with_look_back
 
 # Window sizes of the multi-scale dataset.
 WINDOW_SIZES = [5, 10, 20, 50]
@@ -22,8 +22,8 @@ def _row(features: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _index(df: DataFrame, order: Sequence[str], key: Sequence[str], tick: float) -> DataFrame:
-    return index_by_time(df, key, order, tick)
+def _index(df: DataFrame, order: Sequence[str], key: Sequence[str]) -> DataFrame:
+    return index_rows(df, key, order)
 
 
 def _slide(indexed: DataFrame, features: Sequence[str], label: str, window: int, stride: int, key: Sequence[str]) -> DataFrame:
@@ -37,19 +37,19 @@ def _slide(indexed: DataFrame, features: Sequence[str], label: str, window: int,
 
 def sliding_windows(
     df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], window: int, stride: int = 1,
-    key: Sequence[str] = (), tick: float = TICK_SECONDS,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """(key..., window_id, sequences, label): windows of ``window`` rows every ``stride``
     rows; the label is that of the last row. With ``key`` windows stay inside a group
     and groups shorter than the window give none."""
-    return _slide(_index(df, order, list(key), tick), features, label, window, stride, list(key))
+    return _slide(_index(df, order, list(key)), features, label, window, stride, list(key))
 
 
 def multi_scale_windows(
     df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], sizes: Sequence[int] = WINDOW_SIZES,
-    stride: int = 1, key: Sequence[str] = (), tick: float = TICK_SECONDS,
+    stride: int = 1, key: Sequence[str] = (),
 ) -> DataFrame:
-    indexed = _index(df, order, list(key), tick)
+    indexed = _index(df, order, list(key))
     parts = [
         _slide(indexed, features, label, s, stride, list(key)).withColumn("window_size", F.lit(s)) for s in sizes
     ]
@@ -58,12 +58,12 @@ def multi_scale_windows(
 
 def context_windows(
     df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], past: int, window: int, future: int,
-    stride: int = 1, key: Sequence[str] = (), tick: float = TICK_SECONDS,
+    stride: int = 1, key: Sequence[str] = (),
 ) -> DataFrame:
     """Past, main and future parts of each window; the label belongs to the end of the main part."""
     key = list(key)
     size = past + window + future
-    rows = with_look_back(_index(df, order, key, tick), key, size - 1, max(BLOCK_ROWS, 8 * size))
+    rows = with_look_back(_index(df, order, key), key, size - 1, max(BLOCK_ROWS, 8 * size))
     w = block_window(key).rowsBetween(1 - size, 0)
     cells = F.struct(_row(features).alias("x"), F.col(label).alias("y"))
     rows = rows.select(*key, "rn", "_ghost", F.collect_list(cells).over(w).alias("_a"))

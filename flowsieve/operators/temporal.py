@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowsieve.functions.columns import EPS, clip, equal_width_bin, safe_divide
 from flowsieve.operators.flows import ORDER, iat_with_previous, with_iat, zero
 from flowsieve.operators.ordering import (
-    block_window, group_quantiles, index_by_time, join_group_stats, join_heavy_stats, with_look_back, with_previous,
+    block_window, group_quantiles, index_rows, join_group_stats, join_heavy_stats, with_look_back, with_previous,
 )
 from flowsieve.operators.spectral import approximate_entropy, gap_spectrum
 
@@ -61,7 +61,7 @@ def size_sequence_entropy(packets: DataFrame, key: Sequence[str] = ("flow_id",),
 
 def size_memory(packets: DataFrame, key: Sequence[str] = ("flow_id",), max_lag: int = 10) -> DataFrame:
     """Largest |autocorrelation| of the size over lags 1..max_lag, and R^2 of size against position."""
-    rows = with_look_back(index_by_time(packets.select(*key, *ORDER, "size"), key, ORDER), key, max_lag)
+    rows = with_look_back(index_rows(packets.select(*key, *ORDER, "size"), key, ORDER), key, max_lag)
     w = block_window(key)
     lags = range(1, max_lag + 1)
     rows = rows.select(*key, "rn", "size", "_ghost", *[F.lag("size", k).over(w).alias(f"l{k}") for k in lags])
@@ -93,13 +93,13 @@ def direction_balance(packets: DataFrame, key: Sequence[str] = ("flow_id",)) ->
 
 def gap_series(packets: DataFrame, key: Sequence[str] = ("flow_id",), keep_short: bool = False) -> DataFrame:
     """(key, pos, iat): gaps of each flow with positions 1..n."""
-    rows = with_look_back(index_by_time(packets.select(*key, *ORDER), key, ORDER), key, 1)
+    rows = with_look_back(index_rows(packets.select(*key, *ORDER), key, ORDER), key, 1)
     rows = rows.withColumn("iat", F.col("t") - F.lag("t").over(block_window(key)))
     return rows.where(~F.col("_ghost") & (F.col("rn") >= 2)).select(*key, (F.col("rn") - 1).alias("pos"), "iat")
 
 
 def size_series(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
-    return index_by_time(packets.select(*key, *ORDER, "size"), key, ORDER, name="pos").select(*key, "pos", "size")
+    return index_rows(packets.select(*key, *ORDER, "size"), key, ORDER, name="pos").select(*key, "pos", "size")
 
 
 def periodic_features(packets: DataFrame, key: Sequence[str] = ("flow_id",), limit: int | None = None) -> DataFrame:

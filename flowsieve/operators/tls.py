@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowsieve.functions.columns import EPS, equal_width_bin
 from flowsieve.operators.flows import value_entropy, zero
-from flowsieve.operators.ordering import attach_row, index_by_time, join_heavy_stats, spread_small
+from flowsieve.operators.ordering import attach_row, index_rows, join_heavy_stats, spread_small
 
 # Key length by cipher name, names of weak ciphers, key exchanges with forward secrecy.
 CIPHER_BITS = [("AES_256", 256), ("AES_128", 128), ("CHACHA20", 256), ("RC4", 128), ("3DES", 112)]
@@ -66,7 +66,7 @@ def rtt_variance(packets: DataFrame, key: Sequence[str], order: Sequence[str] =
     """Variance of the positive gaps between the i-th client and the i-th server packet."""
     key = list(key)
     t = order[0]
-    i = index_by_time(packets.where(F.col("direction").isin(client, server)), [*key, "direction"], order, name="_i")
+    i = index_rows(packets.where(F.col("direction").isin(client, server)), [*key, "direction"], order, name="_i")
     ask, answer = F.col("direction") == client, F.col("direction") == server
     pairs = i.groupBy(*key, "_i").agg(
         F.max(F.when(ask, F.col(t))).alias("c"), F.max(F.when(answer, F.col(t))).alias("s")

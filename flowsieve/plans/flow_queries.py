@@ -250,9 +250,9 @@ def f04(spark, sf):
 
 @query("F05_global_sort", f"""WITH {v.PACKETS} SELECT pkt_id, row_number() OVER (ORDER BY t, pkt_id) AS position FROM packets""")
 def f05(spark, sf):
-    from flowsieve.operators.ordering import index_by_time
+    from flowsieve.operators.ordering import index_rows
 
-    return settle(index_by_time(v.packets(spark, sf), [], fl.ORDER, name="position").select("pkt_id", "position"))
+    return settle(index_rows(v.packets(spark, sf), [], fl.ORDER, name="position").select("pkt_id", "position"))
 
 
 @query("F06_top_k", f"""WITH {v.FLOWS} SELECT row_id, price FROM flows ORDER BY price DESC, row_id LIMIT 25""")

@@ -100,7 +100,7 @@ SELECT payload_id, CAST(1500 AS BIGINT) AS length, {sts('list_sum(v) AS total',
 def a08(spark, sf):
     from flowsieve.operators.ordering import index_rows
 
-    p = index_rows(v.payloads(spark, sf), ["flow_id"], ["payload_id"], F.floor(F.col("payload_id") / 4096), "rn").withColumn("number", F.col("rn") - 1)
+    p = index_rows(v.payloads(spark, sf), ["flow_id"], ["payload_id"], "rn").withColumn("number", F.col("rn") - 1)
     vec = p.where(F.col("number") < ca.PACKETS_PER_FILE).select("payload_id", ca.packet_vector("payload").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)

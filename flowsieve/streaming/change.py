@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flowsieve.functions.columns import first_n_of, total
-from flowsieve.operators.ordering import attach_row, block_window, column_quantiles, index_by_time, with_look_back
+from flowsieve.operators.ordering import attach_row, block_window, column_quantiles, index_rows, with_look_back
 
 # Window lengths and limits of the detectors.
 DRIFT_WINDOW, DRIFT_LIMIT, WARNING_LIMIT = 1000, 0.1, 0.05
@@ -149,7 +149,7 @@ def adjacent_window_drift(
 ) -> DataFrame:
     """Batch form: error rate of the last ``size`` rows against that of the ``size`` rows before them."""
     key = list(key)
-    rows = with_look_back(index_by_time(df, key, order), key, 2 * size - 1, max(4096, 8 * size))
+    rows = with_look_back(index_rows(df, key, order), key, 2 * size - 1, max(4096, 8 * size))
     w = block_window(key)
     rows = rows.withColumns({
         "current_rate": F.avg(error).over(w.rowsBetween(1 - size, 0)),
@@ -173,7 +173,7 @@ def adaptive_threshold(
     weigh less than a double can show (0.9^2048 < 1e-93).
     """
     key = list(key)
-    rows = with_look_back(index_by_time(df, key, order), key, size - 1, max(4096, 8 * size))
+    rows = with_look_back(index_rows(df, key, order), key, size - 1, max(4096, 8 * size))
     w = block_window(key).rowsBetween(1 - size, 0)
     fresh = F.avg(score).over(w) + stds * F.stddev_pop(score).over(w)
     rows = rows.withColumn("_fresh", fresh).where(~F.col("_ghost")).drop("_ghost", "_blk")

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flowsieve.functions.columns import time_bucket
 from flowsieve.operators.alerts import alert_rows, with_risk
 from flowsieve.operators.flows import ORDER
-from flowsieve.operators.ordering import TICK_SECONDS, match_keys, with_previous
+from flowsieve.operators.ordering import match_keys, with_previous
 
 # A flow closes after this silence; results are reused for this long.
 IDLE_SECONDS = 120
@@ -28,12 +27,12 @@ def stream_flows(packets: DataFrame, key: Sequence[str], idle: float = IDLE_SECO
     return packets.withWatermark(ts, delay).groupBy(*key, session).agg(*flow_aggs()).drop("session_window")
 
 
-def batch_flows(packets: DataFrame, key: Sequence[str], idle: float = IDLE_SECONDS, tick: float = TICK_SECONDS) -> DataFrame:
+def batch_flows(packets: DataFrame, key: Sequence[str], idle: float = IDLE_SECONDS) -> DataFrame:
     """The same flows from a finished table. Session numbers are running counts of
-    session starts, summed in two levels so that a busy key spreads over its time slices."""
+    session starts, summed in two levels so that a busy key spreads over its slices."""
     key = list(key)
-    p = with_previous(packets, key, ORDER, ["t"], tick)
-    p = p.withColumn("_new", (F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > idle)).cast("int")).withColumn("_b", time_bucket("t", tick))
+    p = with_previous(packets, key, ORDER, ["t"], keep_slice=True)
+    p = p.withColumn("_new", (F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") > idle)).cast("int"))
     totals = p.groupBy(*key, "_b").agg(F.sum("_new").alias("_s"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*key, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))

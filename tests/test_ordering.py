@@ -5,7 +5,6 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import magnitude_bucket
 from flowsieve.operators import flows as fl, ordering as od, sequences as sq, temporal as te
 from flowsieve.streaming import change as ch, flows as sf_
 
@@ -35,23 +34,23 @@ def pull(frame, key="pkt_id"):
 def test_index_and_previous(df, rows):
     want = rows.assign(rn=rows.groupby("flow_id").cumcount() + 1, prev_t=rows.groupby("flow_id")["t"].shift(),
                        prev_direction=rows.groupby("flow_id")["direction"].shift()).sort_values("pkt_id").reset_index(drop=True)
-    got = pull(od.index_by_time(df, ["flow_id"], ["t", "pkt_id"], tick=500.0))
+    got = pull(od.index_rows(df, ["flow_id"], ["t", "pkt_id"]))
     assert got["rn"].tolist() == want["rn"].tolist()
-    prev = pull(od.with_previous(df, ["flow_id"], ["t", "pkt_id"], ["t", "direction"], tick=500.0))
+    prev = pull(od.with_previous(df, ["flow_id"], ["t", "pkt_id"], ["t", "direction"]))
     assert prev["prev_t"].fillna(-1).tolist() == want["prev_t"].fillna(-1).tolist()
     assert prev["prev_direction"].fillna("").tolist() == want["prev_direction"].fillna("").tolist()
-    only_t = pull(od.with_previous(df, ["flow_id"], ["t", "pkt_id"], ["t"], tick=500.0))
+    only_t = pull(od.with_previous(df, ["flow_id"], ["t", "pkt_id"], ["t"]))
     assert only_t["prev_t"].fillna(-1).tolist() == want["prev_t"].fillna(-1).tolist()
 
 
 def test_global_index(df, rows):
     want = rows.sort_values(["t", "pkt_id"])["pkt_id"].tolist()
-    got = od.index_by_time(df, [], ["t", "pkt_id"], tick=900.0).orderBy("rn").select("rn", "pkt_id").toPandas()
+    got = od.index_rows(df, [], ["t", "pkt_id"]).orderBy("rn").select("rn", "pkt_id").toPandas()
     assert got["rn"].tolist() == list(range(1, len(rows) + 1)) and got["pkt_id"].tolist() == want
 
 
 def test_look_back_crosses_blocks(df, rows):
-    indexed = od.index_by_time(df, ["flow_id"], ["t", "pkt_id"])
+    indexed = od.index_rows(df, ["flow_id"], ["t", "pkt_id"])
     w = od.block_window(["flow_id"]).rowsBetween(-9, 0)
     got = od.with_look_back(indexed, ["flow_id"], 9, 32).select("pkt_id", "_ghost", F.sum("size").over(w).alias("s"))
     got = pull(got.where(~F.col("_ghost")))
@@ -62,7 +61,7 @@ def test_look_back_crosses_blocks(df, rows):
 def test_running_totals(df, rows):
     counts = df.groupBy("flow_id", "size").agg(F.count(F.lit(1)).alias("n"))
     for descending in (False, True):
-        got = od.running_totals(counts, ["flow_id"], "size", ["n"], magnitude_bucket("size", 8), descending).toPandas()
+        got = od.running_totals(counts, ["flow_id"], "size", ["n"], descending).toPandas()
         want = rows.groupby(["flow_id", "size"]).size().rename("n").reset_index().sort_values(["flow_id", "size"], ascending=[True, not descending])
         want["cum_n"] = want.groupby("flow_id")["n"].cumsum()
         both = got.merge(want, on=["flow_id", "size"])
@@ -115,7 +114,7 @@ def test_windows_of_a_hot_group(df, rows):
 
 
 def test_sessions_of_a_hot_flow(df, rows):
-    got = sf_.batch_flows(df, ["flow_id"], 60.0, tick=300.0).toPandas()
+    got = sf_.batch_flows(df, ["flow_id"], 60.0).toPandas()
     gap = rows.groupby("flow_id")["t"].diff()
     session = (gap.isna() | (gap > 60.0)).groupby(rows["flow_id"]).cumsum()
     want = rows.groupby(["flow_id", session])["size"].agg(["count", "sum"])
