@@ -7,50 +7,58 @@ gaps, one busy hour, scores near 1, a key with most of the table. Keys with few
 
 Sample, cuts and slices depend on the rows' content alone, so every task, every retry and
 every reader of the plan agrees. The sample grows with the table between two bounds, and
-the broadcast cuts are a fixed share of it.
+the broadcast cuts are a fixed share of it. Rows find their slice in two steps, first a range of
+cuts and then the cut in it, about the square root of their number each, without leaving generated code.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-LEAST_SAMPLE = 1 << 14
+LEAST_SAMPLE = 1 << 13
 MOST_SAMPLE = 1 << 22
 ROWS_PER_SAMPLE = 1 << 15
 SLICE_SAMPLE = 32
-
-
-def _tuple_of(order: Sequence[str]) -> str:
-    return f"struct({', '.join(f'`{c}`' for c in order)})"
+#: Slices of rows without a value of the order lie below all others.
+AFTER_NULL = 1 << 24
 
 
 def cut_points(df: DataFrame, key: Sequence[str], order: Sequence[str], one_number: bool = False) -> DataFrame:
-    """(key..., _cuts, _steps) for each key large enough to be cut.
+    """(_k0, _k1, ..., slice, range, starts, lo, hi): the cuts of each key, in order, dealt to ranges; ``hi`` is the next cut.
 
-    ``_cuts`` is sorted; ``_steps`` are the powers of two for a binary search in it. With ``one_number``
-    the order is one numeric column, and cuts lie half-way between two sampled values, so a value
-    that comes out different in its last bit elsewhere still falls on the same side.
+    The key columns are those of ``key`` and whether the first order column is NULL. With ``one_number`` the order
+    is one numeric column, and cuts lie half-way between two sampled values, so a value that comes out
+    different in its last bit elsewhere still falls on the same side.
     """
     n = df.agg(F.count(F.lit(1)).alias("n"))
     wanted = f"least(greatest(n div {ROWS_PER_SAMPLE}, {LEAST_SAMPLE}), {MOST_SAMPLE})"
     step = n.select(F.expr(f"greatest(n div {wanted}, 1)")).scalar()
-    drawn = df.where(F.pmod(F.xxhash64(*key, *order), step) == 0).groupBy(*key, F.expr(_tuple_of(order)).alias("_at")).agg(F.count(F.lit(1)).alias("_w"))
-    by_key = Window.partitionBy(*key).orderBy("_at")
-    before = F.sum("_w").over(by_key) - F.col("_w")
-    placed = drawn.withColumn("_k", F.floor(before / SLICE_SAMPLE))
-    last = F.lag("_at").over(by_key)
+    names = [f"_k{i}" for i in range(len(key) + 1)]
+    drawn = df.where(F.pmod(F.xxhash64(*key, *order), step) == 0).select(*_keys(key, order), _place(order, one_number).alias("lo"))
+    own = Window.partitionBy(*names).orderBy("lo")
+    drawn = drawn.groupBy(*names, "lo").agg(F.count(F.lit(1)).alias("w"))
+    placed = drawn.select(*names, "lo", F.floor((F.sum("w").over(own) - F.col("w")) / SLICE_SAMPLE).alias("k"), F.lag("lo").over(own).alias("last"))
+    cut = F.col("lo")
     if one_number:
-        value, lower = F.col(f"_at.{order[0]}").cast("double"), last[order[0]].cast("double")
-        middle = lower + (value - lower) / 2
-        cut = F.struct(F.when((middle > lower) & (middle < value), middle).otherwise(value).alias(order[0]))
-    else:
-        cut = F.col("_at")
-    starts = placed.select(*key, cut.alias("_at"), (F.col("_k") > F.lag("_k").over(by_key)).alias("_cut")).where("_cut")
-    cuts = starts.groupBy(*key).agg(F.sort_array(F.collect_list("_at")).alias("_cuts"))
-    steps = F.expr("transform(sequence(cast(floor(log2(size(_cuts))) as int), 0, -1), b -> shiftleft(1, b))")
-    return cuts.withColumn("_steps", steps)
+        value, before = F.col("lo.v0"), F.col("last.v0")
+        middle = before + (value - before) / 2
+        cut = F.struct(F.when((middle > before) & (middle < value), middle).otherwise(value).alias("v0"))
+    starts = placed.select(*names, cut.alias("lo"), (F.col("k") > F.lag("k").over(own)).alias("starts")).where("starts")
+    numbered = starts.select(
+        *names, "lo", F.row_number().over(own).alias("slice"), F.lead("lo").over(own).alias("hi"), F.count(F.lit(1)).over(Window.partitionBy(*names)).alias("n")
+    )
+    place, wide = F.col("slice") - 1, F.ceil(F.sqrt("n"))
+    return numbered.select(*names, "slice", F.floor(place / wide).alias("range"), (place % wide == 0).alias("starts"), "lo", "hi")
+
+
+def _keys(key: Sequence[str], order: Sequence[str]) -> list[Column]:
+    return [*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col(order[0]).isNull().alias(f"_k{len(key)}")]
+
+
+def _place(order: Sequence[str], one_number: bool) -> Column:
+    return F.struct(*[(F.col(c).cast("double") if one_number else F.col(c)).alias(f"v{i}") for i, c in enumerate(order)])
 
 
 def with_slices(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str = "_b", one_number: bool = False) -> DataFrame:
@@ -60,17 +68,20 @@ def with_slices(df: DataFrame, key: Sequence[str], order: Sequence[str], name: s
     key is a key like any other here.
     """
     cuts = cut_points(df, key, order, one_number)
-    if key:
-        here = cuts.select(*[F.col(k).alias(f"_cut_{k}") for k in key], "_cuts", "_steps")
-        same = [F.col(k).eqNullSafe(F.col(f"_cut_{k}")) for k in key]
-        condition = same[0]
-        for more in same[1:]:
-            condition = condition & more
-        joined = df.join(F.broadcast(here), condition, "left")
-    else:
-        one = cuts.select(F.struct("_cuts", "_steps").alias("s")).scalar()
-        joined = df.withColumn("_one", one).withColumn("_cuts", F.col("_one._cuts")).withColumn("_steps", F.col("_one._steps")).drop("_one")
-    at = f"struct(cast(`{order[0]}` as double) as `{order[0]}`)" if one_number else _tuple_of(order)
-    found = f"aggregate(_steps, 0, (lo, step) -> IF(coalesce(get(_cuts, lo + step - 1) <= {at}, false), lo + step, lo))"
-    sliced = joined.withColumn(name, F.expr(f"IF(_cuts IS NULL, 0, {found})"))
-    return sliced.drop("_cuts", "_steps", *[f"_cut_{k}" for k in key])
+    names = [f"_k{i}" for i in range(len(key) + 1)]
+    ranges = cuts.where("starts").withColumn("hi", F.lead("lo").over(Window.partitionBy(*names).orderBy("slice")))
+    at = _place(order, one_number)
+
+    def find(rows: DataFrame, among: DataFrame, equal: list[tuple[Column, str]], found: str) -> DataFrame:
+        here = among.select(*[F.col(c).alias(f"_f{c}") for _, c in equal], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col(found).alias(f"_{found}"))
+        test = (F.col("_lo") <= at) & (F.col("_hi").isNull() | (at < F.col("_hi")))
+        for mine, c in equal:
+            test = test & mine.eqNullSafe(F.col(f"_f{c}"))
+        return rows.join(F.broadcast(here), test, "left").drop("_lo", "_hi", *[f"_f{c}" for _, c in equal])
+
+    mine = [*[F.col(k) for k in key], F.col(order[0]).isNull()]
+    equal = list(zip(mine, names))
+    in_range = find(df, ranges, equal, "range")
+    sliced = find(in_range, cuts, [*equal, (F.col("_range"), "range")], "slice")
+    number = F.coalesce("_slice", F.lit(0)) + F.when(F.col(order[0]).isNull(), 0).otherwise(AFTER_NULL)
+    return sliced.withColumn(name, number.cast("int")).drop("_range", "_slice")
