@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.operators import alerts as al, models as mo, robustness as ro
+from flowsieve.operators import alerts as al, models as mo, reuse as ru, robustness as ro
 from flowsieve.plans import views as v
 from flowsieve.plans.flow_queries import settle
 from flowsieve.plans.registry import query, st, sts
 from flowsieve.session import scratch_path
-from flowsieve.streaming import change as ch, flows as sf_
+from flowsieve.streaming import change as ch, flows as sf_, keyed as ke
 
 ORDER = ["t", "pkt_id"]
 IDLE = 7200
@@ -24,17 +24,30 @@ def s01(spark, sf):
     return settle(sf_.batch_flows(v.packets(spark, sf), ["flow_id"], IDLE).drop("session"))
 
 
-@query("S01_stream_sessions", f"WITH {v.IAT}, {SESSIONS} SELECT {_SESS} FROM sess WHERE last + {IDLE} <= (SELECT max(t) FROM packets) - 600")
+@query("S01_stream_sessions", f"WITH {v.IAT}, {SESSIONS} SELECT {_SESS} FROM sess")
 def s01b(spark, sf):
-    flows = sf_.stream_flows(v.packet_stream(spark, sf), ["flow_id"], IDLE)
-    return settle(sf_.run_and_read(spark, flows, scratch_path(spark, "stream-flows")))
-
-
-@query("S02_stream_drift")
+    flows, _ = ke.run_to_end(spark, v.packet_stream(spark, sf), lambda p: sf_.stream_flows(p, ["flow_id"], IDLE), scratch_path(spark, "stream-flows"))
+    return settle(flows)
+
+
+_DRIFT = 24  # samples of a window
+
+# segments: from one drift to the next; a segment's reference is the window that ended the one before
+@query("S02_stream_drift", f"""WITH RECURSIVE {v.PACKETS}, r AS (SELECT flow_id, t, pkt_id, label, row_number() OVER w AS rn, sum(label) OVER w AS c FROM packets WINDOW w AS (PARTITION BY flow_id ORDER BY t, pkt_id)),
+seg AS (SELECT flow_id, 0 AS s, CAST({_DRIFT // 2} AS BIGINT) AS from_rn, CAST(c AS BIGINT) AS wrong, CAST({_DRIFT // 2} AS BIGINT) AS counted FROM r WHERE rn = {_DRIFT // 2}
+ UNION ALL SELECT flow_id, rn, rn + {_DRIFT // 2} - 1, wrong, counted FROM (
+  SELECT j.flow_id, min(j.rn) AS rn, CAST(arg_min(j.inside, j.rn) AS BIGINT) AS wrong, CAST(arg_min(j.n, j.rn) AS BIGINT) AS counted FROM (
+   SELECT seg.flow_id, seg.s, r.rn, r.c - coalesce(b.c, 0) AS inside, r.rn - greatest(seg.s, r.rn - {_DRIFT}) AS n, seg.wrong / seg.counted AS ref
+   FROM seg JOIN r ON r.flow_id = seg.flow_id AND r.rn > seg.from_rn LEFT JOIN r b ON b.flow_id = r.flow_id AND b.rn = greatest(seg.s, r.rn - {_DRIFT})) j
+  WHERE abs(j.inside / j.n - j.ref) > 0.2 GROUP BY j.flow_id, j.s)),
+ends AS (SELECT *, lead(s) OVER (PARTITION BY flow_id ORDER BY s) AS hit FROM seg),
+judged AS (SELECT r.*, e.s, e.hit, e.from_rn, abs((r.c - coalesce(b.c, 0)) / (r.rn - greatest(e.s, r.rn - {_DRIFT})) - e.wrong / e.counted) AS gap
+ FROM r LEFT JOIN ends e ON e.flow_id = r.flow_id AND r.rn > e.s AND (e.hit IS NULL OR r.rn <= e.hit) LEFT JOIN r b ON b.flow_id = r.flow_id AND b.rn = greatest(e.s, r.rn - {_DRIFT}))
+SELECT flow_id, t, pkt_id, label, coalesce(rn = hit, false) AS drift_now, coalesce(s > 0 OR rn = hit, false) AS drift,
+ coalesce(rn > from_rn AND (hit IS NULL OR rn < hit) AND gap > 0.1, false) AS warning FROM judged""")
 def s02(spark, sf):
-    p = v.packet_stream(spark, sf).withColumn("stream", F.lit("all"))
-    out = ch.stream_drift(p, "stream", ORDER, "label", 200, 0.06, 0.03)
-    return sf_.run_and_read(spark, out, scratch_path(spark, "drift"))
+    drift, _ = ke.run_to_end(spark, v.packet_stream(spark, sf), lambda p: ke.ordered_drift(p, "flow_id", "ts", ORDER, "label", _DRIFT, 0.2, 0.1), scratch_path(spark, "drift"))
+    return drift
 
 
 _W = 100
@@ -61,8 +74,9 @@ def s04(spark, sf):
 
 @query("S04_stream_threshold", f"WITH {v.IAT}, {_ADAPT} SELECT pkt_id, {st('threshold')} AS threshold, size > threshold AS anomaly FROM th UNION ALL SELECT pkt_id, NULL, false FROM iat WHERE rn < 10")
 def s04b(spark, sf):
-    out = ch.stream_adaptive_threshold(v.packet_stream(spark, sf), "flow_id", ORDER, "size", size=20, least=10)
-    return settle(sf_.run_and_read(spark, out, scratch_path(spark, "threshold")).select("pkt_id", "threshold", "anomaly"))
+    work = lambda p: ke.ordered_threshold(p, "flow_id", "ts", ORDER, "size", size=20, least=10)
+    out, _ = ke.run_to_end(spark, v.packet_stream(spark, sf), work, scratch_path(spark, "threshold"))
+    return settle(out.select("pkt_id", "threshold", "anomaly"))
 
 
 @query("S05_novelty_flags", "SELECT event_id, value > (SELECT quantile_cont(value, 0.95) FROM events WHERE event_type = 'click') AS novel FROM events")
@@ -113,19 +127,19 @@ def s08(spark, sf):
     return settle(sf_.run_and_read(spark, sf_.alerts_of(scored), scratch_path(spark, "alerts")))
 
 
-_WINDOWS = f"SELECT CAST(floor(t / 3600) * 3600 AS BIGINT) AS window_start, protocol, count(*) AS requests, {st('avg(size)')} AS mean_latency, {st('count(*) / 3600')} AS requests_per_second FROM packets GROUP BY 1, 2"
+_WINDOWS = f"SELECT CAST(floor(t / 3600) * 3600 AS BIGINT) AS window_start, protocol, count(*) AS requests, {st('avg(size)')} AS mean_latency, {st('quantile_disc(size, 0.95)')} AS p95_latency, {st('count(*) / 3600')} AS requests_per_second FROM packets GROUP BY 1, 2"
 
 
 @query("S09_traffic_counters", f"WITH {v.PACKETS} {_WINDOWS}")
 def s09(spark, sf):
     p = v.packets_of(v.table(spark, sf, "events"))
-    return settle(sf_.traffic_counters(p, ["protocol"], "1 hour").drop("p95_latency"))
+    return settle(sf_.traffic_counters(p, ["protocol"], "1 hour"))
 
 
-@query("S09_stream_counters", f"WITH {v.PACKETS}, w AS ({_WINDOWS}) SELECT * FROM w WHERE window_start + 3600 <= (SELECT max(t) FROM packets) - 600")
+@query("S09_stream_counters", f"WITH {v.PACKETS}, w AS ({_WINDOWS}) SELECT * FROM w")
 def s09b(spark, sf):
-    w = sf_.traffic_counters(v.packet_stream(spark, sf), ["protocol"], "1 hour", "10 minutes")
-    return settle(sf_.run_and_read(spark, w, scratch_path(spark, "counters")).drop("p95_latency"))
+    w, _ = ke.run_to_end(spark, v.packet_stream(spark, sf), lambda p: sf_.traffic_counters(p, ["protocol"], "1 hour", "10 minutes"), scratch_path(spark, "counters"))
+    return settle(w)
 
 
 @query("S10_flush_results", f"WITH {v.PACKETS} SELECT pkt_id, {st(_SCORE)} AS threat_score, CASE WHEN {_SCORE} >= 0.8 THEN 'critical' WHEN {_SCORE} >= 0.6 THEN 'high' WHEN {_SCORE} >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level FROM packets")
@@ -142,6 +156,24 @@ def n07b(spark, sf):
     return computed.select("fingerprint", F.floor(F.unix_micros("ts") / F.lit(sf_.REUSE_SECONDS * 1000000)).alias("reuse_window"))
 
 
+_REUSE = f"""f AS (SELECT pkt_id, flow_id, t, row_number() OVER (PARTITION BY flow_id ORDER BY t, pkt_id) AS rn FROM packets),
+chain AS (SELECT flow_id, t, rn FROM f WHERE rn = 1
+ UNION ALL SELECT c.flow_id, min(f.t), min(f.rn) FROM chain c JOIN f ON f.flow_id = c.flow_id AND f.t >= c.t + 40000 GROUP BY c.flow_id)
+SELECT f.pkt_id, c.rn <> f.rn AS reused, s.pkt_id AS source_row FROM f ASOF JOIN chain c ON c.flow_id = f.flow_id AND c.rn <= f.rn JOIN f s ON s.flow_id = c.flow_id AND s.rn = c.rn"""
+
+
+@query("N07_sliding_reuse", f"WITH RECURSIVE {v.PACKETS}, {_REUSE}")
+def n07c(spark, sf):
+    return ru.sliding_reuse(v.packets(spark, sf), "flow_id", "t", "pkt_id", 40_000).select("pkt_id", "reused", "source_row")
+
+
+@query("N07_stream_sliding_reuse", f"WITH RECURSIVE {v.PACKETS}, {_REUSE}")
+def n07d(spark, sf):
+    p = v.packet_stream(spark, sf)
+    out, _ = ke.run_to_end(spark, p, lambda p: ke.ordered_reuse(p, "flow_id", "ts", "pkt_id", 40_000), scratch_path(spark, "sliding-reuse"))
+    return out.select("pkt_id", "reused", "source_row")
+
+
 # -- robustness: fixed weights over features in [0, 1] ---------------------------------------------
 
 FEATURES = ["x1", "x2", "x3"]

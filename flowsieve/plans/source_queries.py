@@ -91,17 +91,14 @@ def a11(spark, sf):
 def a07(spark, sf):
     p = v.packets(spark, sf).withColumn("t_us", F.round(F.col("t") * 1000000).cast("long"))
     files = fx.capture_files(spark, p)
-    return settle(ca.read_captures(spark, files, piece=20000).drop("path", "packet", "raw"))
+    return settle(ca.read_captures(spark, files, piece=20000).drop("path", "offset", "raw"))
 
 
-@query("A08_packet_vectors", f"""WITH {v.PAYLOADS}, r AS (SELECT payload_id, flow_id, hex(payload) AS h, row_number() OVER (PARTITION BY flow_id ORDER BY payload_id) AS rn FROM payloads),
-x AS (SELECT payload_id, list_transform(range(0, least(length(h) // 2, 1500)), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) / CAST(255 AS DOUBLE)) AS v FROM r WHERE rn <= 100)
+@query("A08_packet_vectors", f"""WITH {v.PAYLOADS}, r AS (SELECT payload_id, hex(payload) AS h FROM payloads),
+x AS (SELECT payload_id, list_transform(range(0, least(length(h) // 2, 1500)), lambda i: CAST('0x' || substr(h, i * 2 + 1, 2) AS INTEGER) / CAST(255 AS DOUBLE)) AS v FROM r)
 SELECT payload_id, CAST(1500 AS BIGINT) AS length, {sts('list_sum(v) AS total', 'list_sum(list_transform(v, lambda e, i: e * i)) AS weighted')} FROM x""")
 def a08(spark, sf):
-    from flowsieve.operators.ordering import index_rows
-
-    p = index_rows(v.payloads(spark, sf), ["flow_id"], ["payload_id"], "rn").withColumn("number", F.col("rn") - 1)
-    vec = p.where(F.col("number") < ca.PACKETS_PER_FILE).select("payload_id", ca.packet_vector("payload").alias("v"))
+    vec = v.payloads(spark, sf).select("payload_id", ca.packet_vector("payload").alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return settle(vec.select("payload_id", F.size("v").alias("length"), total.alias("total"), weighted.alias("weighted")))

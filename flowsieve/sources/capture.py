@@ -1,121 +1,31 @@
-"""Capture files (libpcap) to packet rows.
-
-A first pass walks the record headers of each file in constant memory and
-cuts the file at record borders; the pieces are then parsed in parallel, so
-one large capture spreads over many tasks.
-"""
+"""Capture files to packet rows and to vectors of their bytes."""
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Capture format numbers.
-MAGICS = {
-    b"\xd4\xc3\xb2\xa1": ("<", 1e6), b"\xa1\xb2\xc3\xd4": (">", 1e6),
-    b"\x4d\x3c\xb2\xa1": ("<", 1e9), b"\xa1\xb2\x3c\x4d": (">", 1e9),
-}
-FILE_HEADER, RECORD_HEADER = 24, 16
-ETHERNET, IPV4, TCP, UDP = 14, 0x0800, 6, 17
-PIECE_BYTES = 32 << 20
-READ_BYTES = 4 << 20
-PACKET_BYTES, PACKETS_PER_FILE = 1500, 100
-
-PIECES = "path string, begin bigint, stop bigint, first bigint"
-PACKETS = (
-    "path string, packet bigint, timestamp double, length bigint, src_ip string, dst_ip string, src_port int, "
-    "dst_port int, protocol string, raw binary"
-)
-
-
-def _open(path: str):
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system.open_input_file(inner)
-
-
-def _order(head: bytes, path: str) -> tuple[str, float]:
-    if head[:4] not in MAGICS:
-        raise ValueError(f"{path} is not a libpcap file")
-    return MAGICS[head[:4]]
-
-
-def _pieces(path: str, size: int) -> Iterator[tuple]:
-    """(begin, stop, number of the first packet) of record-aligned pieces of about ``size`` bytes."""
-    with _open(path) as f:
-        end = f.size()
-        order, _ = _order(f.read(FILE_HEADER), path)
-        at = begin = FILE_HEADER
-        packet = first = 0
-        base, buffer = at, b""
-        while at + RECORD_HEADER <= end:
-            if at + RECORD_HEADER > base + len(buffer):
-                f.seek(at)
-                base, buffer = at, f.read(READ_BYTES)
-            kept = struct.unpack_from(order + "I", buffer, at - base + 8)[0]
-            if at + RECORD_HEADER + kept > end:
-                break  # a record cut off at the end of the file
-            at += RECORD_HEADER + kept
-            packet += 1
-            if at - begin >= size:
-                yield begin, at, first
-                begin, first = at, packet
-        if at > begin:
-            yield begin, at, first
-
-
-def _fields(frame: bytes) -> tuple:
-    """(src ip, dst ip, src port, dst port, protocol); NULL where the layer is absent."""
-    if len(frame) < ETHERNET + 20 or struct.unpack_from(">H", frame, 12)[0] != IPV4:
-        return None, None, None, None, None
-    ip = frame[ETHERNET:]
-    head = (ip[0] & 15) * 4
-    src, dst, kind = ".".join(map(str, ip[12:16])), ".".join(map(str, ip[16:20])), ip[9]
-    if kind in (TCP, UDP) and len(ip) >= head + 4:
-        sport, dport = struct.unpack_from(">HH", ip, head)
-        return src, dst, sport, dport, "TCP" if kind == TCP else "UDP"
-    return src, dst, None, None, str(kind)
-
-
-def _parse(path: str, begin: int, stop: int, first: int, with_raw: bool) -> pd.DataFrame:
-    with _open(path) as f:
-        order, unit = _order(f.read(FILE_HEADER), path)
-        f.seek(begin)
-        data = f.read(stop - begin)
-    rows, at = [], 0
-    while at + RECORD_HEADER <= len(data):
-        sec, part, kept, full = struct.unpack_from(order + "IIII", data, at)
-        frame = data[at + RECORD_HEADER:at + RECORD_HEADER + kept]
-        rows.append((path, first + len(rows), sec + part / unit, full, *_fields(frame), frame if with_raw else None))
-        at += RECORD_HEADER + kept
-    names = ["path", "packet", "timestamp", "length", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "raw"]
-    out = pd.DataFrame(rows, columns=names)
-    return out.astype({"src_port": "Int32", "dst_port": "Int32"})
+from flowsieve.sources.capture_source import RANGE_BYTES, CaptureSource
 
+# Fixed value: the bytes of a packet that make its vector.
+PACKET_BYTES = 1500
 
-def read_captures(spark: SparkSession, files: Sequence[str], with_raw: bool = False, piece: int = PIECE_BYTES) -> DataFrame:
-    """One row per packet of the given capture files."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path in pdf["path"]:
-                for begin, stop, first in _pieces(path, piece):
-                    yield pd.DataFrame({"path": [path], "begin": [begin], "stop": [stop], "first": [first]})
+def read_captures(spark: SparkSession, files: Sequence[str], with_raw: bool = False, piece: int = RANGE_BYTES) -> DataFrame:
+    """One row per packet of the given capture files or folders, see ``CaptureSource``."""
+    spark.dataSource.register(CaptureSource)
+    reader = spark.read.format("capture").option("rangeBytes", piece).option("raw", str(with_raw).lower())
+    return reader.option("path", ",".join(files)).load()
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                yield _parse(r.path, r.begin, r.stop, r.first, with_raw)
 
-    paths = spark.read.format("binaryFile").load(list(files)).select("path")
-    n = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
-    pieces = paths.repartition(n, "path").mapInPandas(cut, PIECES)
-    return pieces.repartition("path", "begin").mapInPandas(parse, PACKETS)
+def stream_captures(spark: SparkSession, folder: str, with_raw: bool = False, piece: int = RANGE_BYTES) -> DataFrame:
+    """A stream of the packets of the files that appear in a folder."""
+    spark.dataSource.register(CaptureSource)
+    reader = spark.readStream.format("capture").option("rangeBytes", piece).option("raw", str(with_raw).lower())
+    return reader.option("path", folder).load()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -136,6 +46,7 @@ def packet_vector(raw: str, size: int = PACKET_BYTES):
     return _scaled(F.substring(F.col(raw), 1, size), F.lit(size))
 
 
-def packet_vectors(packets: DataFrame, file: str, number: str, raw: str, size: int = PACKET_BYTES, per_file: int = PACKETS_PER_FILE) -> DataFrame:
-    """Vectors of the first ``per_file`` packets of each file (``number`` counts them from 0)."""
-    return packets.where(F.col(number) < per_file).select(file, number, packet_vector(raw, size).alias("vector"))
+def packet_vectors(packets: DataFrame, file: str, number: str, raw: str, size: int = PACKET_BYTES, per_file: int | None = None) -> DataFrame:
+    """Vectors of all packets, or of the first ``per_file`` of each file (``number`` counts them from 0)."""
+    chosen = packets if per_file is None else packets.where(F.col(number) < per_file)
+    return chosen.select(file, number, packet_vector(raw, size).alias("vector"))

@@ -72,13 +72,14 @@ def traffic_counters(packets: DataFrame, by: Sequence[str] = (), every: str = "1
     return out.select(F.unix_seconds("window.start").alias("window_start"), *by, "requests", "mean_latency", "p95_latency", rate.alias("requests_per_second"))
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet", mode: str = "append") -> None:
-    """Drain what is available into a file sink; exactly once through the checkpoint."""
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet", mode: str = "append") -> int:
+    """Drain what is available into a file sink, exactly once through the checkpoint; the number of rows dropped as late."""
     q = (
         stream.writeStream.format(kind).outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
 
 
 def run_and_read(spark: SparkSession, stream: DataFrame, base: str, kind: str = "parquet") -> DataFrame:
