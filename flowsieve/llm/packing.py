@@ -11,6 +11,7 @@ within ``length`` before j: a sliding minimum, kept by a monotone queue.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import deque
@@ -30,40 +31,92 @@ STRIDE = 32
 #: Windows planned at once, and windows at the end of a plan that the next plan may still change.
 PLAN_WINDOWS, OPEN_WINDOWS = 256, 8
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, padding bigint"
 
 
+# How the tokenizer's file cuts a lower-cased word of these letters and signs.
+PLAIN_WORD = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+LATIN = "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+
+
+class Recent:
+    """A dict of bounded size: when it is half full it starts anew, and what is still used moves over."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def get(self, key):
+        found = self.now.get(key)
+        if found is None and (found := self.before.get(key)) is not None:
+            self.now[key] = found
+        return found
+
+    def put(self, key, value) -> None:
+        self.now[key] = value
+
+    def age(self) -> None:
+        if 2 * len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+
+
 class WordTokenizer:
     """Ids of whole texts, from the ids of their words.
 
-    The tokenizer never joins anything across ASCII white space, so a text has the
-    concatenated ids of its words; each distinct word is encoded once.
+    The tokenizer never joins anything across ASCII white space, so a text has the concatenated ids
+    of its words; each distinct word is encoded once. A word of printable ASCII and Latin-1 letters has those of the
+    parts that the file's rules cut it into, whatever its case, and each distinct part goes to the model
+    alone. All other words, and those that may hold a special token, take the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelt = {ord(c): spell(c)[0][0] for c in LATIN}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size + 2, bool)
         for token, i in self.tokenizer.get_vocab().items():
             word = token.removesuffix("</w>")
             self.ends[i] = token.endswith("</w>") and word[-1:] in ".!?"
-        self.known: dict[bytes, bytes] = {}  # unsigned 32-bit ids
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)  # unsigned 32-bit ids
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            spelt = part if part.isascii() else part.translate(self.spelt)
+            ids = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            self.parts.put(part, ids)
+        return ids
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found, other = {}, []
+        for word in words:
+            text = word.decode()
+            if text.isascii() and text.isalpha():
+                found[word] = self._part(text.lower())
+            elif PLAIN_WORD.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+                found[word] = b"".join(map(self._part, PLAIN_PARTS.findall(text.lower())))
+            else:
+                other.append(word)
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                found[word] = array("I", e.ids).tobytes()
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        need = list(set().union(*split).difference(self.known)) if split else []
-        if len(self.known) + len(need) > CACHE_WORDS:
-            self.known = {}
-            need = list(set().union(*split))
-        for at in range(0, len(need), 4096):
-            part = need[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = array("I", e.ids).tobytes()
-        known = self.known
         end = array("I", [END_ID]).tobytes()
+        self.words.age()
+        self.parts.age()
+        need = [w for w in set().union(*split).difference(self.words.now) if self.words.get(w) is None] if split else []
+        self.words.now.update(self._new(need))
+        known = self.words.now
         return [np.frombuffer(b"".join([known[w] for w in words]) + end, np.uint32) for words in split]
 
 
