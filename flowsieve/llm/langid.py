@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.llm.common import bounded_batches, id_and_text, remainder
+from flowsieve.llm.common import bounded_batches, fresh, id_and_text, remainder
 
 # Language codes by family. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -219,8 +219,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.25) -> DataFrame:
-    """The documents whose language can be told: not ``und``, and a score of ``least_score`` or more."""
+    """The documents whose language can be told: not ``und``, and a score of ``least_score`` or more.
+
+    NULL, empty and letterless texts go; equal texts share their fate; all columns stay as they are, whatever their names.
+    An empty table gives an empty result, and so does one that nothing can be learned from.
+    """
     model = fit(docs.where(~held_out()).select("text", "lang"))
-    columns = docs.columns
-    named = docs.withColumn("_language", predicted(docs, model))
-    return named.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= least_score)).select(*columns)
+    own = fresh(docs.columns, "_language")
+    named = docs.withColumn(own, predicted(docs, model))
+    return named.where((F.col(own)["lang"] != UNKNOWN) & (F.col(own)["score"] >= least_score)).drop(own)

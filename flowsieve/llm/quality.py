@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.common import bounded_batches
+from flowsieve.llm.common import bounded_batches, fresh
 from flowsieve.session import materialize
 
 BUCKETS = 1 << 16
@@ -197,5 +197,13 @@ def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The selected documents, with the columns they came with."""
-    return resample(docs, labels, docs.columns + ["text"] if "text" not in docs.columns else docs.columns).where("selected").select(*docs.columns)
+    """The selected documents, with the columns they came with, whatever their names.
+
+    NULL, empty and white texts go, unless nothing could be learned; then all stay. Repeated rows share their fate. An
+    empty table gives an empty result.
+    """
+    row = fresh(docs.columns, "_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    narrow = numbered.select("doc_id", "text", F.col(row).alias("_row"))
+    chosen = resample(narrow, labels, ["_row"]).where("selected").select(F.col("_row").alias(row))
+    return numbered.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

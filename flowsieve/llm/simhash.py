@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowsieve.llm.common import Forest, bounded_batches, group_bounds, ranges, runs, whole_groups
+from flowsieve.llm.common import Forest, bounded_batches, fresh, group_bounds, ranges, runs, whole_groups
 from flowsieve.llm.components import connected_components
 from flowsieve.operators.ordering import join_heavy_stats
 from flowsieve.session import materialize
@@ -193,10 +193,14 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4, id_col: s
 
 
 def keep_one(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The documents without near copies: of each group the row with the smallest doc_id stays (of equal ids, one)."""
-    columns = docs.columns
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
+    """The documents without near copies: of each group the row with the smallest doc_id stays (of equal ids, one; NULL ids last).
+
+    NULL, empty and white texts are one group. All columns stay as they are, whatever their names. An empty table
+    gives an empty result.
+    """
+    row = fresh(docs.columns, "_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))
     groups = simhash_groups(numbered.select(own.alias("_id"), "text"), words, distance, "_id")
-    dropped = materialize(groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.row").alias("_row")), "copies")
-    return numbered.join(dropped, "_row", "left_anti").select(*columns)
+    dropped = materialize(groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id.row").alias(row)), "copies")
+    return numbered.join(dropped, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
