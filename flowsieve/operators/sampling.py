@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from flowsieve.operators.ordering import attach_row, index_rows
+from flowsieve.operators.ordering import attach_row, index_rows, match_keys
 
 
 def row_hash(key: str | Column) -> Column:
@@ -24,13 +24,44 @@ def rank_by_hash(df: DataFrame, key: str, within: Sequence[str] = (), name: str
     return index_rows(h, list(within), ["_h", key], name, null_safe=True, total=total).drop("_h")
 
 
+BAND_DIGITS = 3
+
+
+def mark_first(df: DataFrame, key: str, within: Sequence[str], wanted: Mapping[str, Column]) -> DataFrame:
+    """``df`` with a boolean column for each entry of ``wanted``: whether a row is among the first so many of its class in the
+    order of the digest. The numbers may use ``class_n``, the rows of the class.
+
+    The table is not ranked: rows are counted by the head of their digest, and only those in the few bands where a
+    limit lies are numbered, in slices. All others are compared with the limit, without moving.
+    """
+    classes = list(within)
+    h = df.withColumn("_h", row_hash(key)).withColumn("_p", F.substring("_h", 1, BAND_DIGITS))
+    counted = h.groupBy(*classes, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*classes)
+    upto = F.sum("_n").over(whole.orderBy("_p"))
+    bands = counted.select(*classes, "_p", "_n", (upto - F.col("_n")).alias("_lo"), F.sum("_n").over(whole).alias("class_n"))
+    numbers = {name: F.least(n, F.col("class_n")) for name, n in wanted.items()}
+    bands = bands.select("*", *[n.alias(f"_k_{name}") for name, n in numbers.items()])
+    holds = F.lit(False)
+    for name in wanted:
+        holds = holds | ((F.col("_lo") < F.col(f"_k_{name}")) & (F.col(f"_k_{name}") <= F.col("_lo") + F.col("_n")))
+    inside = match_keys(h.select(*classes, "_p", "_h", key), bands.where(holds), [*classes, "_p"], null_safe=True)
+    place = F.col("_lo") + F.col("_rn")
+    ranked = index_rows(inside, [*classes, "_p"], ["_h", key], "_rn", null_safe=True)
+    at = F.struct(F.col("_h").alias("h"), F.col(key).alias("key"))
+    limits = ranked.groupBy(*classes).agg(*[F.max(F.when(place == F.col(f"_k_{name}"), at)).alias(f"_at_{name}") for name in wanted])
+    out = match_keys(h, limits, classes, "left", null_safe=True) if classes else attach_row(h, limits, "_one").select("*", "_one.*").drop("_one")
+    for name in wanted:
+        out = out.withColumn(name, F.coalesce(at <= F.col(f"_at_{name}"), F.lit(False)))
+    return out.drop("_h", "_p", *[f"_at_{name}" for name in wanted])
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.15, validation: float = 0.15) -> DataFrame:
     """Adds ``split``: train, validation or test with the same shares in every class."""
-    ranked = rank_by_hash(df, key, [label], total="class_n")
     train = F.floor(F.col("class_n") * F.lit(1.0 - test - validation))
     upto = F.floor(F.col("class_n") * F.lit(1.0 - test))
-    split = F.when(F.col("rn") <= train, "train").when(F.col("rn") <= upto, "validation").otherwise("test")
-    return ranked.withColumn("split", split).drop("rn", "class_n")
+    marked = mark_first(df, key, [label], {"_train": train, "_upto": upto})
+    return marked.withColumn("split", F.when(F.col("_train"), "train").when(F.col("_upto"), "validation").otherwise("test")).drop("_train", "_upto")
 
 
 def random_split(df: DataFrame, key: str, test: float = 0.15, validation: float = 0.15) -> DataFrame:
@@ -43,16 +74,14 @@ def random_split(df: DataFrame, key: str, test: float = 0.15, validation: float
 
 def stratified_sample(df: DataFrame, key: str, label: str, size: int = 20000) -> DataFrame:
     """At most about ``size`` rows, each class with its share of the table."""
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    ranked = attach_row(rank_by_hash(df, key, [label], total="class_n"), total, "_t")
-    share = F.least(F.lit(1.0), F.lit(float(size)) / F.col("_t.n"))
-    return ranked.where(F.col("rn") <= F.floor(F.col("class_n") * share + 0.5)).drop("rn", "class_n", "_t")
+    share = df.agg(F.least(F.lit(1.0), F.lit(float(size)) / F.greatest(F.count(F.lit(1)), F.lit(1)))).scalar()
+    return mark_first(df, key, [label], {"_in": F.floor(F.col("class_n") * share + 0.5)}).where("_in").drop("_in")
 
 
-def bounded_holdout(df: DataFrame, key: str, share: float = 0.2, size: int = 1_000_000) -> DataFrame:
-    """Test rows by hash mask, at most ``size`` of them in the order of the digest."""
+def bounded_holdout(df: DataFrame, key: str, share: float = 0.2, size: int | None = None) -> DataFrame:
+    """Test rows by hash mask, all of them or the first ``size`` in the order of the digest."""
     held = df.where(unit_hash(key) < share)
-    return rank_by_hash(held, key).where(F.col("rn") <= size).drop("rn")
+    return held if size is None else mark_first(held, key, [], {"_in": F.lit(size)}).where("_in").drop("_in")
 
 
 def fold_numbers(df: DataFrame, key: str, k: int, label: str | None = None) -> DataFrame:
@@ -83,4 +112,4 @@ def balanced_oversample(df: DataFrame, key: str, label: str) -> DataFrame:
 
 def head_per_file(df: DataFrame, file: str, key: str, n: int) -> DataFrame:
     """At most ``n`` rows of each file in the order of a digest."""
-    return rank_by_hash(df, key, [file]).where(F.col("rn") <= n).drop("rn")
+    return mark_first(df, key, [file], {"_in": F.lit(n)}).where("_in").drop("_in")

@@ -73,15 +73,15 @@ def with_slices(df: DataFrame, key: Sequence[str], order: Sequence[str], name: s
     at = _place(order, one_number)
 
     def find(rows: DataFrame, among: DataFrame, equal: list[tuple[Column, str]], found: str) -> DataFrame:
-        here = among.select(*[F.col(c).alias(f"_f{c}") for _, c in equal], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.col(found).alias(f"_{found}"))
-        test = (F.col("_lo") <= at) & (F.col("_hi").isNull() | (at < F.col("_hi")))
+        here = among.select(*[F.col(c).alias(f"_cut_{c}") for _, c in equal], F.col("lo").alias("_cut_lo"), F.col("hi").alias("_cut_hi"), F.col(found).alias(f"_cut_found_{found}"))
+        test = (F.col("_cut_lo") <= at) & (F.col("_cut_hi").isNull() | (at < F.col("_cut_hi")))
         for mine, c in equal:
-            test = test & mine.eqNullSafe(F.col(f"_f{c}"))
-        return rows.join(F.broadcast(here), test, "left").drop("_lo", "_hi", *[f"_f{c}" for _, c in equal])
+            test = test & mine.eqNullSafe(F.col(f"_cut_{c}"))
+        return rows.join(F.broadcast(here), test, "left").drop("_cut_lo", "_cut_hi", *[f"_cut_{c}" for _, c in equal])
 
     mine = [*[F.col(k) for k in key], F.col(order[0]).isNull()]
     equal = list(zip(mine, names))
     in_range = find(df, ranges, equal, "range")
-    sliced = find(in_range, cuts, [*equal, (F.col("_range"), "range")], "slice")
-    number = F.coalesce("_slice", F.lit(0)) + F.when(F.col(order[0]).isNull(), 0).otherwise(AFTER_NULL)
-    return sliced.withColumn(name, number.cast("int")).drop("_range", "_slice")
+    sliced = find(in_range, cuts, [*equal, (F.col("_cut_found_range"), "range")], "slice")
+    number = F.coalesce("_cut_found_slice", F.lit(0)) + F.when(F.col(order[0]).isNull(), 0).otherwise(AFTER_NULL)
+    return sliced.withColumn(name, number.cast("int")).drop("_cut_found_range", "_cut_found_slice")
