@@ -30,8 +30,8 @@ CUT_PENALTY = 12.0
 STRIDE = 32
 #: Windows planned at once, and windows at the end of a plan that the next plan may still change.
 PLAN_WINDOWS, OPEN_WINDOWS = 256, 8
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 800_000
+#: Words, and parts of words, whose ids a worker keeps (some 100 MB in all).
+CACHE_WORDS = 250_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, padding bigint"
 
 

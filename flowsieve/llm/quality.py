@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from flowsieve.llm.common import bounded_batches, fresh
+from flowsieve.llm.common import bounded_batches
 from flowsieve.session import materialize
 
 BUCKETS = 1 << 16
@@ -99,7 +99,7 @@ def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 65,536 numbers
     narrow = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:])
+    schema = T.StructType(narrow.schema.fields[1:]).add("log_ratio", "double").add("n_grams", "long").add("mean_ratio", "double")
 
     def work(batches):
         for batch in batches:
@@ -109,7 +109,7 @@ def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 mean = np.where(n > 0, total / np.maximum(n, 1), -np.inf)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(total), pa.array(n), pa.array(mean)], names=[*keep, "log_ratio", "n_grams", "mean_ratio"])
 
-    return narrow.mapInArrow(work, f"{schema}, log_ratio double, n_grams bigint, mean_ratio double")
+    return narrow.mapInArrow(work, schema)
 
 
 def best_limit(good: np.ndarray, bad: np.ndarray) -> float:
@@ -202,8 +202,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     NULL, empty and white texts go, unless nothing could be learned; then all stay. Repeated rows share their fate. An
     empty table gives an empty result.
     """
-    row = fresh(docs.columns, "_row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    narrow = numbered.select("doc_id", "text", F.col(row).alias("_row"))
-    chosen = resample(narrow, labels, ["_row"]).where("selected").select(F.col("_row").alias(row))
-    return numbered.join(chosen, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document")
+    return resample(docs.select("doc_id", "text", whole), labels, ["_document"]).where("selected").select("_document.*")
