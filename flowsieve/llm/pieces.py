@@ -14,6 +14,7 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 from bisect import insort
 from functools import lru_cache
 
@@ -25,7 +26,8 @@ from flowsieve.llm.common import id_and_text
 
 SPACE = "▁"
 SCALE = 1000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+NEVER = -(1 << 60)
 OUTPUT = "doc_id bigint, rank int, score double, n_pieces bigint, ids_crc32 bigint, n_words bigint, round_trip boolean"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -52,14 +54,55 @@ class Lattice:
                 self.bytes_of[i] = piece.replace(SPACE, " ").encode()
         self.longest = max(map(len, self.scores))
         self.byte_score = round(-SCALE * (math.log(size + 2) + 1))
-        self.words: dict[str, int] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.words.clear()
-        self.best: list[np.ndarray] = []
-        self.score: list[int] = []
-        self.more: list[list[tuple[int, tuple[int, ...]]]] = []
+        # every piece, and every beginning of one (None), so that a look-up ends where no piece can go on
+        self.starts: dict[str, tuple[int, int] | None] = {p[:k]: None for p in self.scores for k in range(1, len(p))} | self.scores
+        self.words: dict[str, tuple[int, int | None, bytes]] = {}
+        self.choices: dict[str, list[tuple[int, bytes]]] = {}
+
+    def forward(self, word: str) -> tuple[int, int | None, bytes]:
+        """Score of the best segmentation, what the second best has less (None if there is but one), and the best one's ids.
+
+        Each position keeps its two best scores: a second best path ends in one of them. Among equal scores the longest last piece
+        comes first, as in the search below.
+        """
+        size, starts = len(word), self.starts
+        one, two, back = [NEVER] * (size + 1), [NEVER] * (size + 1), [None] * (size + 1)
+        one[0] = 0
+        for begin in range(size):
+            first, second = one[begin], two[begin]
+            single = False
+            for end in range(begin + 1, size + 1):
+                part = word[begin:end]
+                if part not in starts:
+                    break
+                found = starts[part]
+                if found is None:
+                    continue
+                single = single or end == begin + 1
+                value = first + found[1]
+                if value > one[end]:
+                    two[end] = max(one[end], second + found[1])
+                    one[end], back[end] = value, (begin, found[0])
+                elif value > two[end]:
+                    two[end] = value
+            if not single:
+                end = begin + 1
+                extra = self.byte_score * len(word[begin].encode("utf-8", "replace"))
+                if first + extra > one[end]:
+                    two[end] = max(one[end], second + extra)
+                    one[end], back[end] = first + extra, (begin, None)
+                elif first + extra > two[end]:
+                    two[end] = first + extra
+        ids: list[int] = []
+        at = size
+        while at:
+            begin, piece = back[at]
+            if piece is None:
+                ids.extend(self.byte_ids[b] for b in reversed(word[begin].encode("utf-8", "replace")))
+            else:
+                ids.append(piece)
+            at = begin
+        return one[size], one[size] - two[size] if two[size] > NEVER // 2 else None, array("i", reversed(ids)).tobytes()
 
     def n_best(self, word: str, n: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
         """The n best segmentations, (score, ids), best first; ties by search order, which depends on the word alone."""
@@ -107,39 +150,42 @@ class Lattice:
                     insort(agenda, entry)
         return out
 
-    def index(self, text: str) -> list[int]:
-        """Numbers of the words of a text in the tables ``best``, ``score`` and ``more``."""
+    def alternatives(self, word: str) -> list[tuple[int, bytes]]:
+        """(what it has less than the best, ids) of the second to the n-th best segmentation."""
+        found = self.choices.get(word)
+        if found is None:
+            if len(self.choices) >= CACHE_WORDS // 8:
+                self.choices.clear()
+            top, *more = self.n_best(word)
+            found = self.choices[word] = [(top[0] - s, array("i", ids).tobytes()) for s, ids in more]
+        return found
+
+    def encode(self, text: str) -> list[tuple[int, np.ndarray]]:
+        """The N best segmentations of a whole text, (score, ids). Only the N - 1 words whose second choice costs least can differ,
+        so only those are searched for more than their two best scores."""
         words = _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         known = self.words
-        if len(known) + len(words) > CACHE_WORDS:
-            self._clear()
         for w in set(words).difference(known):
-            found = self.n_best(w)
-            known[w] = len(self.best)
-            self.best.append(np.array(found[0][1], np.int32))
-            self.score.append(found[0][0])
-            self.more.append([(found[0][0] - s, ids) for s, ids in found[1:]])
-        return [known[w] for w in words]
-
-    def encode(self, text: str) -> list[tuple[int, np.ndarray]]:
-        """The N best segmentations of a whole text, (score, ids). Only the N - 1 words whose second choice costs least can differ."""
-        index = self.index(text)
-        parts = [self.best[i] for i in index]
-        total = sum(self.score[i] for i in index)
-        seconds = sorted((self.more[i][0][0], at) for at, i in enumerate(index) if self.more[i])[: self.n - 1]
+            known[w] = self.forward(w)
+        found = [known[w] for w in words]
+        parts = [f[2] for f in found]
+        total = sum([f[0] for f in found])
+        gaps = ((f[1], at) for at, f in enumerate(found) if f[1] is not None)
         states: list[tuple[int, tuple]] = [(0, ())]
-        for _, at in seconds:
-            choices = [(0, None), *self.more[index[at]]]
+        for _, at in heapq.nsmallest(self.n - 1, gaps):
+            choices = [(0, None), *self.alternatives(words[at])]
             joined = [(cost + extra, changes if ids is None else (*changes, (at, ids))) for cost, changes in states for extra, ids in choices]
-            states = heapq.nsmallest(self.n, joined)
+            states = heapq.nsmallest(self.n, joined, key=lambda s: (s[0], [(at, np.frombuffer(ids, np.int32).tolist()) for at, ids in s[1]]))
         out = []
         for cost, changes in states:
             own = parts
             if changes:
                 own = list(parts)
                 for at, ids in changes:
-                    own[at] = np.array(ids, np.int32)
-            out.append((total - cost, np.concatenate(own) if own else np.zeros(0, np.int32)))
+                    own[at] = ids
+            out.append((total - cost, np.frombuffer(b"".join(own), np.int32)))
         return out
 
     def decode(self, ids) -> str:
