@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowsieve.llm.common import id_and_text
 
-#: Characters of an anchor and of an inner substring (powers of two), and those for texts of fewer than SHORT characters.
-K, S = 32, 8
-SHORT, SHORT_K, SHORT_S = 128, 8, 4
+#: Characters of an anchor and of an inner substring (powers of two), for texts of every length.
+K, S = 16, 4
 CHARS_AT_ONCE = 1 << 20
 OUTPUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -58,10 +57,10 @@ def _anchors(chars: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class Fingerprint:
-    """Anchor hashes and positions of one text. A text shorter than SHORT_K is one anchor; an empty one has none."""
+    """Anchor hashes and positions of one text. A text shorter than K is one anchor; an empty one has none."""
 
     def __init__(self, text: str):
-        k, s = (SHORT_K, SHORT_S) if len(text) < SHORT else (K, S)
+        k, s = K, S
         if len(text) < k:
             own = [xxhash.xxh32_intdigest(text.encode("utf-8", "replace"))] if text else []
             self.hashes, self.at = np.array(own, np.uint32), np.zeros(len(own), np.int64)
