@@ -14,11 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flowsieve.operators.boxes import within
 from flowsieve.operators.ordering import block_window, by_key, join_group_stats, with_look_back
 from flowsieve.session import materialize
 
 FLOW_ROWS = 1 << 18  # largest series handled as one group
-MATCH_ROWS = 4096  # largest side of one template-matching group
+MATCH_ROWS = 1 << 16  # largest side of one template-matching group
+DIRECT_PAIRS = 1 << 17  # template pairs compared one by one instead of by range counting
 MIN_GAPS = 10
 PEAK_HEIGHT = 0.1
 
@@ -164,17 +166,12 @@ def gap_spectrum(series: DataFrame, key: Sequence[str], pos: str, value: str, li
     return out if long is None else out.unionByName(_long_spectrum(long, keys, pos, value))
 
 
-def _matches(q: np.ndarray, d: np.ndarray, r: float) -> np.ndarray:
-    """For each row of ``q`` the number of rows of ``d`` within ``r`` in every coordinate."""
-    order = np.argsort(d[:, 0], kind="stable")
-    d = d[order]
-    lo = np.searchsorted(d[:, 0], q[:, 0] - r * (1 + 1e-12), "left")
-    hi = np.searchsorted(d[:, 0], q[:, 0] + r * (1 + 1e-12), "right")
-    out = np.empty(len(q), dtype=np.int64)
-    for i in range(len(q)):
-        part = d[lo[i]:hi[i]]
-        out[i] = int((np.abs(part - q[i]).max(axis=1) <= r).sum()) if len(part) else 0
-    return out
+def _matches(q: np.ndarray, d: np.ndarray, r: float, weight: np.ndarray | None = None) -> np.ndarray:
+    """For each row of ``q`` the weight of the rows of ``d`` within ``r`` in every coordinate; few rows directly, many by range counting."""
+    if len(q) * len(d) > DIRECT_PAIRS:
+        return within(q, d, r, weight)
+    near = (np.abs(q[:, None, :] - d[None, :, :]) <= r).all(axis=2)
+    return near.sum(axis=1) if weight is None else near @ weight.astype(float)
 
 
 def _templates(x: np.ndarray, m: int) -> np.ndarray:
@@ -182,8 +179,8 @@ def _templates(x: np.ndarray, m: int) -> np.ndarray:
 
 
 def _long_phi(long: DataFrame, key: Sequence[str], pos: str, value: str, m: int, factor: float, eps: float, rows: int) -> DataFrame:
-    """Mean log match fraction per flow. Templates fall into slices of width r; each
-    query meets the data of three slices, in groups of at most about rows x rows."""
+    """Mean log match fraction per flow. Equal templates are one with a weight. Templates fall into slices of width r;
+    each query meets the data of three slices, in groups of at most about rows x rows, which are range counted."""
     keys = list(key)
     ahead = with_look_back(long.withColumn("rn", F.col(pos)), keys, m - 1)
     w = block_window(keys)
@@ -191,8 +188,9 @@ def _long_phi(long: DataFrame, key: Sequence[str], pos: str, value: str, m: int,
     coords = [F.lag(value, last - i).over(w) if i < last else F.col(value) for i in range(m)]
     t = ahead.withColumn("_t", F.array(*coords)).where(~F.col("_ghost") & (F.col("rn") >= m))
     t = t.select(*keys, F.col("rn").alias("i"), "_t", (F.col("_sd") * factor).alias("r"), (F.col("_n") - last).alias("total"))
+    t = t.groupBy(*keys, "_t", "r", "total").agg(F.min("i").alias("i"), F.count(F.lit(1)).alias("w"))
     t = t.withColumn("slice", F.floor(F.element_at("_t", 1) / F.col("r")).cast("long"))
-    data = t.select(*keys, F.explode(F.sequence(F.col("slice") - 1, F.col("slice") + 1)).alias("slice"), F.col("i").alias("di"), "_t")
+    data = t.select(*keys, F.explode(F.sequence(F.col("slice") - 1, F.col("slice") + 1)).alias("slice"), F.col("i").alias("di"), "_t", "w")
 
     def pieces(frame: DataFrame, name: str) -> DataFrame:
         return frame.groupBy(*keys, "slice").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
@@ -201,23 +199,23 @@ def _long_phi(long: DataFrame, key: Sequence[str], pos: str, value: str, m: int,
     q = join_group_stats(t, plan, [*keys, "slice"], ["i"])
     d = join_group_stats(data, plan, [*keys, "slice"], ["di"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.select(*keys, "slice", F.pmod(F.xxhash64("i"), F.col("nq")).cast("int").alias("pq"), every("nd").alias("pd"), "i", "_t", "r", "total", F.lit(True).alias("isq"))
-    d = d.select(*keys, "slice", every("nq").alias("pq"), F.pmod(F.xxhash64("di"), F.col("nd")).cast("int").alias("pd"), F.col("di").alias("i"), "_t",
+    q = q.select(*keys, "slice", F.pmod(F.xxhash64("i"), F.col("nq")).cast("int").alias("pq"), every("nd").alias("pd"), "i", "_t", "w", "r", "total", F.lit(True).alias("isq"))
+    d = d.select(*keys, "slice", every("nq").alias("pq"), F.pmod(F.xxhash64("di"), F.col("nd")).cast("int").alias("pd"), F.col("di").alias("i"), "_t", "w",
                  F.lit(0.0).alias("r"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("isq"))
     kinds = dict(long.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", i bigint, total bigint, n bigint"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", i bigint, w bigint, total bigint, n bigint"
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, have = pdf[pdf["isq"]], pdf[~pdf["isq"]]
         if ask.empty or have.empty:
-            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, "i": pd.Series([], dtype="int64"), "total": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64")})
-        n = _matches(np.vstack(ask["_t"].to_numpy()), np.vstack(have["_t"].to_numpy()), float(ask["r"].iloc[0]))
-        return pd.DataFrame({**{k: ask[k].to_numpy() for k in keys}, "i": ask["i"].to_numpy(), "total": ask["total"].to_numpy(), "n": n})
+            return pd.DataFrame({**{k: pdf[k].iloc[:0] for k in keys}, **{c: pd.Series([], dtype="int64") for c in ("i", "w", "total", "n")}})
+        n = _matches(np.vstack(ask["_t"].to_numpy()), np.vstack(have["_t"].to_numpy()), float(ask["r"].iloc[0]), have["w"].to_numpy())
+        return pd.DataFrame({**{k: ask[k].to_numpy() for k in keys}, **{c: ask[c].to_numpy() for c in ("i", "w", "total")}, "n": n.astype(np.int64)})
 
     parts = [*keys, "slice", "pq", "pd"]
     found = by_key(q.unionByName(d), parts).groupBy(*parts).applyInPandas(count, schema)
-    per = found.groupBy(*keys, "i").agg((F.sum("n") / F.first("total")).alias("c"))
-    return per.groupBy(*keys).agg(F.avg(F.log(F.col("c") + F.lit(eps))).alias(f"phi{m}"))
+    per = found.groupBy(*keys, "i").agg((F.sum("n") / F.first("total")).alias("c"), F.first("w").alias("w"))
+    return per.groupBy(*keys).agg((F.sum(F.log(F.col("c") + F.lit(eps)) * F.col("w")) / F.sum("w")).alias(f"phi{m}"))
 
 
 def approximate_entropy(
