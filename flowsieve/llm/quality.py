@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from flowsieve.llm.common import bounded_batches
 from flowsieve.session import materialize
@@ -25,7 +25,8 @@ HALF_BITS = 15
 LABELLED = 20_000
 #: Prior strength, in n-grams, that pulls the target model towards the raw one.
 PRIOR = float(BUCKETS)
-TEMPERATURE = 0.05
+#: 1: drawn in proportion to exp(weight), the importance ratio itself.
+TEMPERATURE = 1.0
 REPEAT = 7
 WORDS_AT_ONCE = 1 << 18
 EXACT_ROWS = 10_000
@@ -171,12 +172,30 @@ def kth_largest(table: DataFrame, column: str, k: int) -> float | None:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, temperature: float = TEMPERATURE, k: int | None = None) -> DataFrame:
+def gumbel(*parts: Column | str, salt: str = "gumbel") -> Column:
+    """Standard Gumbel noise from a hash of the parts, the same in every run; another salt is another draw."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(*parts, F.lit(salt)), 12).cast("double") + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
+def draw(table: DataFrame, weight: str, noise: str, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
+    """A stored table with gumbel_key (weight / temperature + noise) and ``selected``: the ``k`` largest keys, ties at the last one included.
+
+    At temperature 1 rows so leave the urn one by one with chances in proportion to exp(weight). k is the number of positive weights
+    unless given. A NULL weight is never drawn.
+    """
+    table = materialize(table.withColumn("gumbel_key", F.col(weight) / temperature + F.col(noise)).drop(noise), "weights")
+    wanted = table.where(F.col(weight) > 0).count() if k is None else k
+    last = kth_largest(table, "gumbel_key", min(wanted, table.where("gumbel_key is not null").count()))
+    chosen = F.coalesce(F.col("gumbel_key") >= F.lit(last), F.lit(False)) if last is not None else F.lit(False)
+    return table.withColumn("selected", chosen)
+
+
+def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, temperature: float = TEMPERATURE, k: int | None = None, salt: str = "gumbel") -> DataFrame:
     """Columns ``keep`` of every document with log_ratio, n_grams, mean_ratio, weight, gumbel_key and ``selected``.
 
-    ``weight`` is the log ratio above the limit, summed over the n-grams; ``gumbel_key`` is weight / temperature
-    plus Gumbel noise from a hash of the id and the text, so a retry draws the same. The ``k`` largest keys are
-    selected (ties at the last one all are); k is the number of documents with a positive weight unless given.
+    ``weight`` is the log ratio above the limit, summed over the n-grams; ``gumbel_key`` and the draw: see ``draw``. The noise comes from a
+    hash of the id and the text, so a retry draws the same.
     Texts without a word (NULL, empty, white space) have no weight and are never selected, unless nothing could be learned
     from the labels; then all are. An empty table gives an empty result.
     """
@@ -184,16 +203,10 @@ def resample(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     model = fit(docs, labels)
     if not np.isfinite(model.limit):
         model.limit = -1e9
-    noise = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.lit("gumbel")), 12).cast("double") + 0.5) / float(1 << 52)
-    drawn = docs.withColumn("_noise", -F.log(-F.log(noise)))
-    raw = scores(drawn, model, [*keep, "_noise"])
+    raw = scores(docs.withColumn("_noise", gumbel("doc_id", F.col("text").cast("string"), salt=salt)), model, [*keep, "_noise"])
     weight = F.when(F.col("n_grams") > 0, F.col("log_ratio") - F.lit(model.limit) * F.col("n_grams"))
-    table = raw.withColumn("weight", weight).withColumn("gumbel_key", F.col("weight") / temperature + F.col("_noise")).drop("_noise")
-    table = materialize(table, "weights")
-    wanted = table.where("weight > 0").count() if k is None else k
-    last = kth_largest(table, "gumbel_key", min(wanted, table.where("gumbel_key is not null").count()))
-    chosen = F.coalesce(F.col("gumbel_key") >= F.lit(last), F.lit(False)) if last is not None else F.lit(False)
-    return table.withColumn("selected", chosen | F.lit(model.limit == -1e9))
+    drawn = draw(raw.withColumn("weight", weight), "weight", "_noise", k, temperature)
+    return drawn.withColumn("selected", F.col("selected") | F.lit(model.limit == -1e9))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

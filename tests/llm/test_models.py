@@ -60,6 +60,19 @@ def test_quality_keeps_the_largest_keys(spark, small):
     assert np.mean(right) > 0.9
 
 
+def test_draw_is_in_proportion_to_the_importance_ratio(spark):
+    table = spark.range(60_000).selectExpr("id as doc_id", "ln(1.0 + id % 3) as weight")
+    runs = []
+    for salt in ("a", "b"):
+        got = quality.draw(table.withColumn("_n", quality.gumbel("doc_id", salt=salt)), "weight", "_n", k=3000)
+        rows = got.where("selected").collect()
+        assert len(rows) == 3000
+        share = np.bincount([r.doc_id % 3 for r in rows]) / 3000
+        assert np.abs(share - np.array([1, 2, 3]) / 6).max() < 0.03
+        runs.append({r.doc_id for r in rows})
+    assert len(runs[0] & runs[1]) < 500  # another salt is another draw
+
+
 def test_quality_counts_are_whole(spark, small):
     texts = catalog.documents(spark, small).select("text")
     want = np.zeros(quality.BUCKETS)
