@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from flowsieve.functions.columns import equal_width_bin, safe_divide
+from flowsieve.operators.gram import cross_validated_lasso, fit_components, gram_matrix
 from flowsieve.operators.ordering import attach_row, match_keys, melt
 
 # Variance below which a feature is dropped, correlation above which it is.
@@ -63,13 +60,7 @@ def top_features(scores: DataFrame, k: int) -> DataFrame:
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(first, second, corr) for every pair of columns, first before second."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [
-        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"c{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return wide.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    return gram_matrix(df, columns).where(F.col("first") != F.col("second")).select("first", "second", "corr")
 
 
 def correlation_pruning(df: DataFrame, columns: Sequence[str], limit: float = MAX_CORRELATION) -> DataFrame:
@@ -141,28 +132,17 @@ def recursive_elimination(
 
 
 def lasso_selection(
-    df: DataFrame, columns: Sequence[str], label: str, alphas: Sequence[float] = (0.001, 0.01, 0.1), folds: int = 3,
-    fallback: int = 10, parallelism: int = 2, seed: int = 42,
+    df: DataFrame, columns: Sequence[str], label: str, key: str, alphas: Sequence[float] | None = None, folds: int = 5, fallback: int = 10,
 ) -> DataFrame:
-    """(feature, score, selected): |coefficient| of an L1 model with the penalty chosen by cross-validation."""
-    data = assemble(df, columns, label)
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    lr = LinearRegression(featuresCol="scaled", elasticNetParam=1.0, standardization=False)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(alphas)).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[scaler, lr]), estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"),
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    coef = cv.fit(data).bestModel.stages[-1].coefficients.toArray()
-    scores = [(c, abs(float(x))) for c, x in zip(columns, coef)]
+    """(feature, score, selected): |coefficient| of an L1 model with the penalty chosen by cross-validation, or the ``fallback``
+    largest where it keeps none. One pass over the table (see ``gram``)."""
+    scores = [(r["feature"], r["score"]) for r in cross_validated_lasso(df, columns, label, key, alphas, folds)[0].collect()]
     chosen = {c for c, s in scores if s > 0} or {c for c, _ in sorted(scores, key=lambda s: -s[1])[:fallback]}
     return df.sparkSession.createDataFrame([(c, s, c in chosen) for c, s in scores], "feature string, score double, selected boolean")
 
 
 def pca_components(df: DataFrame, columns: Sequence[str], key: str, k: int = 32) -> DataFrame:
-    """(key, components): standardised features projected on min(k, n) principal components."""
-    k = min(k, len(columns))
-    stages = [
-        VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="skip"),
-        StandardScaler(inputCol="_v", outputCol="_z", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_z", outputCol="components"),
-    ]
-    return Pipeline(stages=stages).fit(df).transform(df).select(key, "components")
+    """(key, components): standardised features projected on min(k, n) principal components; rows with a missing value are left out."""
+    fitted = fit_components(df, columns, k)
+    made = fitted.project(df.select(key, *columns).dropna(subset=list(columns)), "_pc")
+    return made.select(key, F.array(*[F.col(f"_pc{i}") for i in range(len(fitted.loadings))]).alias("components"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from flowsieve.operators import engineer as en, flows as fl, metrics as me, sampling as sa, select as se
+from flowsieve.operators import engineer as en, flows as fl, gram as gr, metrics as me, sampling as sa, select as se
 from flowsieve.operators.ordering import match_keys
 from flowsieve.plans import views as v
 from flowsieve.plans.flow_queries import settle
@@ -217,15 +217,31 @@ def k05(spark, sf):
 
 @query("K06_lasso_selection")
 def k06(spark, sf):
-    return se.lasso_selection(_with_copies(spark, sf), NUM, "price", alphas=(0.1, 100.0), folds=2)
+    return se.lasso_selection(_with_copies(spark, sf), NUM, "price", "row_id")
+
+
+@query("K06_lasso_path")
+def k06b(spark, sf):
+    return gr.cross_validated_lasso(_with_copies(spark, sf), NUM, "price", "row_id")[1]
+
+
+# quantity is missing on some rows, so pairs have unlike numbers of rows
+_HOLES = ["quantity", "price", "tax", "gross"]
+
+
+@query("K07_gram_matrix", f"""WITH {v.FLOWS}, h AS (SELECT CASE WHEN line <> 3 THEN quantity END AS quantity, price, CASE WHEN line <> 4 THEN tax END AS tax, price * (1 + tax) AS gross FROM flows)
+""" + " UNION ALL ".join(
+    f"SELECT '{a}' AS first, '{b}' AS second, CAST(regr_count({a}, {b}) AS BIGINT) AS n, {sts(f'regr_avgy({a}, {b}) AS mean_first', f'regr_avgx({a}, {b}) AS mean_second', f'covar_samp({a}, {b}) AS covariance', f'corr({a}, {b}) AS corr')} FROM h"
+    for i, a in enumerate(_HOLES) for b in _HOLES[i:]))
+def k07b(spark, sf):
+    f = _with_copies(spark, sf).withColumns({"quantity": F.when(F.col("line") != 3, F.col("quantity")), "tax": F.when(F.col("line") != 4, F.col("tax"))})
+    return settle(gr.gram_matrix(f, _HOLES))
 
 
 @query("K09_pca_components")
 def k09(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-
     out = se.pca_components(_with_copies(spark, sf), [*NUM, "gross", "net"], "row_id", 3)
-    return out.select("row_id", *[F.round(F.abs(vector_to_array("components")[i]), 4).alias(f"c{i}") for i in range(3)])
+    return out.select("row_id", *[F.round(F.get("components", F.lit(i)), 4).alias(f"c{i}") for i in range(3)])
 
 
 _RANKED = "SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id), row_id) AS rn, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM flows"

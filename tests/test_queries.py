@@ -22,7 +22,7 @@ def test_same_as_sql(spark, sf, name):
     assert state == "ok", f"{name}: {state} {note}"
 
 
-SLOW = {"M07_stacking", "M06_two_stage", "M05_train_and_evaluate", "K05_recursive_elimination", "K06_lasso_selection"}
+SLOW = {"M07_stacking", "M06_two_stage", "M05_train_and_evaluate", "K05_recursive_elimination"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
