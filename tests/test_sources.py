@@ -124,3 +124,97 @@ def test_prediction_store(spark, tmp_path):
     path = tb.store_predictions(df, str(tmp_path / "p"))
     got = {r["model_type"]: r["n"] for r in tb.prediction_report(spark, path, "id int, model_type string").collect()}
     assert got == {"cnn": 2, "lstm": 1, "total": 3}
+
+
+def test_columns_go_by_name_in_a_folder(spark, tmp_path):
+    write(tmp_path / "a.csv", "x, y,t\n1,2,u\n")
+    write(tmp_path / "b.csv", "\ufeffy,x\n20,10\n")
+    write(tmp_path / "c d.csv", '"x","z, w",y\n100,"p,q",200\n')
+    write(tmp_path / "e.csv", "")
+    df = tb.read_csv(spark, str(tmp_path), with_path="f")
+    assert df.columns == ["x", "y", "t", "z, w", "f"]
+    assert sorted(tuple(r)[:4] for r in df.collect()) == [("1", "2", "u", None), ("10", "20", None, None), ("100", "200", None, "p,q")]
+    typed = tb.read_csv(spark, str(tmp_path), "y", "y int, x long, gone double")
+    assert typed.dtypes == [("y", "int"), ("x", "bigint"), ("gone", "double")]
+    assert sorted((r["x"], r["y"], r["gone"]) for r in typed.collect()) == [(1, 2, None), (10, 20, None), (100, 200, None)]
+
+
+def test_folders_of_csv(spark, tmp_path):
+    spark.range(5).selectExpr("id", "id % 2 AS part").write.partitionBy("part").option("header", "true").csv(str(tmp_path / "p"))
+    df = tb.read_csv(spark, str(tmp_path / "p"))
+    assert df.columns == ["id", "part"] and sorted(tuple(r) for r in df.collect()) == [(str(i), i % 2) for i in range(5)]
+    (tmp_path / "empty").mkdir()
+    write(tmp_path / "empty" / "a.csv", "")
+    assert tb.read_csv(spark, str(tmp_path / "empty"), schema="a int").count() == 0
+    (tmp_path / "same").mkdir()
+    write(tmp_path / "same" / "a.csv", "x,x,,b`.c\n1,2,3,4\n")
+    got = tb.read_csv(spark, str(tmp_path / "same"))
+    assert got.columns == ["x", "x_1", "_c2", "b`.c"] and tuple(got.first()) == ("1", "2", "3", "4")
+
+
+def test_packed_csv(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.csv.gz").write_bytes(gzip.compress(b"b,a\n1,2\n"))
+    write(tmp_path / "b.csv", "a,b\n4,3\n")
+    assert sorted((r["a"], r["b"]) for r in tb.read_csv(spark, str(tmp_path)).collect()) == [("2", "1"), ("4", "3")]
+
+
+def test_scenarios_of_unlike_column_order(spark, tmp_path):
+    write(tmp_path / "a-vpn.csv", "x,y\n1,2\n")
+    write(tmp_path / "b.csv", "y,x\n20,10\n")
+    df = tb.combine_scenarios(spark, {"s": str(tmp_path)}, kind="csv")
+    assert {(r["x"], r["y"], r["source_file"], r["label"]) for r in df.collect()} == {("1", "2", "a-vpn.csv", 1), ("10", "20", "b.csv", 0)}
+
+
+def test_rows_per_file_keeps_folders_apart(spark, tmp_path):
+    files = []
+    for folder, rows in (("a", "1\n2\n"), ("b", "3\n")):
+        (tmp_path / folder).mkdir()
+        files.append(write(tmp_path / folder / "same.csv", "x\n" + rows))
+    got = {(r["path"].split("/")[-2], r["file_name"], r["n_rows"]) for r in tb.rows_per_file(spark, files).collect()}
+    assert got == {("a", "same.csv", 2), ("b", "same.csv", 1)}
+
+
+SPARSE_ARFF = r"""@relation r
+@attribute n numeric
+@attribute 'the kind' {'a,b', Plain, "it's"}
+@attribute t string
+@attribute m real
+@data
+1,'a,b',"x, y",2
+{0 5, 3 2}
+{1 "it's", 2 'q, {r}'}
+{}
+{0 1, 0 2}
+{9 1}
+{x}
+3, 'don\'t', ?, '?'
+@home,Plain,it's,4
+1,2
+"""
+
+
+def test_quoted_and_sparse_arff(spark, tmp_path):
+    f = write(tmp_path / "s.arff", SPARSE_ARFF)
+    got = sorted(map(tuple, tb.read_arff(spark, [f]).collect()), key=str)
+    assert got == sorted([
+        (1.0, "a,b", "x, y", 2.0), (5.0, "a,b", None, 2.0), (0.0, "it's", "q, {r}", 0.0), (0.0, "a,b", None, 0.0),
+        (3.0, "don't", None, None), (None, "Plain", "it's", 4.0),
+    ], key=str)
+    row = tb.rejected_rows(spark, [f]).first()
+    assert (row["n_rows"], row["n_rejected"]) == (10, 4)
+
+
+def test_arff_without_a_header_is_an_error(spark, tmp_path):
+    f = write(tmp_path / "bare.arff", "1,2\n3,4\n")
+    g = write(tmp_path / "good.arff", "@relation r\n@attribute x numeric\n@data\n1\n")
+    with pytest.raises(ValueError, match="bare.arff"):
+        tb.read_arff(spark, [f, g])
+
+
+def test_long_cells_do_not_overflow(spark, tmp_path):
+    long = "v, " * 60000
+    f = write(tmp_path / "l.arff", f"@relation r\n@attribute t string\n@attribute x numeric\n@data\n'{long}',7\n")
+    row = tb.read_arff(spark, [f]).first()
+    assert len(row["t"]) == len(long) and row["x"] == 7.0
