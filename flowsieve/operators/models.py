@@ -20,7 +20,8 @@ from flowsieve.operators.clean import coerce_numeric, drop_rare_classes
 from flowsieve.operators.flows import class_weights
 from flowsieve.operators.metrics import basic_metrics
 from flowsieve.operators.ordering import join_group_stats
-from flowsieve.operators.sampling import fold_numbers, stratified_sample, stratified_split
+from flowsieve.operators.sampling import stratified_sample, stratified_split
+from flowsieve.session import materialize
 
 SEED = 42
 
@@ -100,23 +101,18 @@ def weighted_linear(df: DataFrame, columns: Sequence[str], label: str, spread: S
 def train_and_evaluate(
     df: DataFrame, columns: Sequence[str], key: str, label: str, size: int = 20000, pca: int = 32, trees: int = 20,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Coerce, sample, drop rare classes, split, scale, project, train a forest (a linear
-    model when it fails), and measure on the test part."""
-    data = coerce_numeric(df, columns)
-    data = drop_rare_classes(stratified_sample(data, key, label, size), label, [key])
-    data = stratified_split(data, key, label).persist()
-    try:
-        train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
-        try:
-            model = fit_model(train, columns, label, "rf", standardize=True, pca=pca, numTrees=trees)
-        except Exception:  # as a forest needs several classes and enough rows
-            model = fit_model(train, columns, label, "lr", standardize=True, pca=pca)
-        scored = predict(model, test, [F.col(label).cast("int").alias("y")])
-        metrics = basic_metrics(scored)
-        row = metrics.first()
-    finally:
-        data.unpersist()
-    return model, df.sparkSession.createDataFrame([row], metrics.schema)
+    """Coerce, drop rare classes, split, train a forest on a sample of at most about ``size`` training rows (scaled, projected),
+    and measure on all test rows. With a single class a linear model takes the forest's place."""
+    data = drop_rare_classes(coerce_numeric(df, columns), label, [key])
+    data = materialize(stratified_split(data, key, label), "split")
+    train = stratified_sample(data.where(F.col("split") == "train"), key, label, size)
+    classes = train.agg(F.count_distinct(label)).first()[0]
+    if not classes:
+        raise ValueError("no class has enough rows to train on")
+    kind, params = ("rf", {"numTrees": trees}) if classes > 1 else ("lr", {})
+    model = fit_model(train, columns, label, kind, standardize=True, pca=pca, **params)
+    scored = predict(model, data.where(F.col("split") == "test"), [F.col(label).cast("int").alias("y")])
+    return model, basic_metrics(scored)
 
 
 def two_stage(df: DataFrame, columns: Sequence[str], key: str, encrypted: str, label: str, trees: int = 20, depth: int = 10) -> DataFrame:
@@ -131,28 +127,6 @@ def two_stage(df: DataFrame, columns: Sequence[str], key: str, encrypted: str, l
     return deep.withColumn("pred", F.when(F.col("encrypted_pred") == 1, F.col("_p"))).drop("_p")
 
 
-def stack(df: DataFrame, columns: Sequence[str], key: str, label: str, base: Mapping[str, dict], folds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(out-of-fold probabilities, meta predictions): base models learn on the other folds, a logistic model on their answers."""
-    data = fold_numbers(with_features(df, columns), key, folds, label).persist()
-    parts = []
-    for f in range(folds):
-        train, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        out = held
-        for kind, params in base.items():
-            cls = classifier(kind, label, **params).setPredictionCol(f"_pred_{kind}").setRawPredictionCol(f"_raw_{kind}")
-            if kind != "svc":
-                cls = cls.setProbabilityCol(f"_prob_{kind}")
-            out = cls.fit(train).transform(out)
-            answer = vector_to_array(f"_raw_{kind}" if kind == "svc" else f"_prob_{kind}")[1]
-            out = out.withColumn(f"s_{kind}", answer)
-        parts.append(out.select(key, label, "fold", *[f"s_{k}" for k in base]))
-    level = parts[0]
-    for p in parts[1:]:
-        level = level.unionByName(p)
-    meta = fit_model(level, [f"s_{k}" for k in base], label, "lr")
-    return level, predict(meta, level, [key, label])
-
-
 def one_vs_rest(df: DataFrame, columns: Sequence[str], label: str, kind: str = "svc", **params):
     """A binary learner for many classes."""
     return OneVsRest(classifier=classifier(kind, label, **params), labelCol=label).fit(with_features(df, columns))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowsieve.operators import alerts as al, models as mo, reuse as ru, robustness as ro
+from flowsieve.operators import alerts as al, models as mo, reuse as ru, robustness as ro, stacking as sk
+from flowsieve.operators.sampling import random_split
 from flowsieve.plans import views as v
 from flowsieve.plans.flow_queries import settle
 from flowsieve.plans.registry import query, st, sts
@@ -233,29 +234,42 @@ def _labelled(spark, sf):
     return f.withColumns({"y": (hard | (F.col("tax") > 0.07)).cast("int"), "encrypted": (F.col("scenario") == "O").cast("int"), "cls": F.when(hard, 2).otherwise(F.col("attack"))})
 
 
+def _split(df):
+    """(training rows, the rest) by a hash of the row id: models are scored on rows they did not see."""
+    marked = random_split(df, "row_id")
+    return marked.where(F.col("split") == "train").drop("split"), marked.where(F.col("split") != "train").drop("split")
+
+
 @query("M01_forest_predictions")
 def m01(spark, sf):
-    d = mo.with_weights(_labelled(spark, sf), "y", ["row_id"])
-    return mo.predict(mo.fit_model(d, NUM, "y", "rf", "weight", numTrees=10), d, ["row_id", "y"]).select("row_id", "y", "pred", F.round("confidence", 4).alias("confidence"))
+    train, rest = _split(_labelled(spark, sf))
+    model = mo.fit_model(mo.with_weights(train, "y", ["row_id"]), NUM, "y", "rf", "weight", numTrees=10)
+    return mo.predict(model, rest, ["row_id", "y"]).select("row_id", "y", "pred", F.round("confidence", 4).alias("confidence"))
+
+
+@query("M01_forest_importances")
+def m01b(spark, sf):
+    train, _ = _split(_labelled(spark, sf))
+    return mo.importances(mo.fit_model(train, NUM, "y", "rf", numTrees=10), NUM, spark).withColumn("score", F.round("score", 6))
 
 
 @query("M02_soft_vote")
 def m02(spark, sf):
-    d = _labelled(spark, sf)
-    out = mo.soft_vote(d, d, NUM, "y", ["row_id", "y"], {"rf": {"numTrees": 5}, "gbt": {"maxIter": 3, "maxDepth": 3}})
+    train, rest = _split(_labelled(spark, sf))
+    out = mo.soft_vote(train, rest, NUM, "y", ["row_id", "y"], {"rf": {"numTrees": 5}, "gbt": {"maxIter": 3, "maxDepth": 3}})
     return out.withColumn("p", F.round("p", 4))
 
 
 @query("M03_calibrated_scores")
 def m03(spark, sf):
-    p = v.predictions(spark, sf)
-    return mo.calibrate(p, p, "p", "y").select("row_id", F.round("calibrated", 6).alias("calibrated"))
+    validation, rest = _split(v.predictions(spark, sf))
+    return mo.calibrate(validation, rest, "p", "y").select("row_id", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query("M04_weighted_linear")
 def m04(spark, sf):
-    d = _labelled(spark, sf)
-    return mo.predict(mo.weighted_linear(d, NUM, "y", ["row_id"], maxIter=10), d, ["row_id", "y"]).select("row_id", "y", "pred")
+    train, rest = _split(_labelled(spark, sf))
+    return mo.predict(mo.weighted_linear(train, NUM, "y", ["row_id"], maxIter=10), rest, ["row_id", "y"]).select("row_id", "y", "pred")
 
 
 @query("M05_train_and_evaluate")
@@ -270,8 +284,16 @@ def m06(spark, sf):
 
 @query("M07_stacking")
 def m07(spark, sf):
-    _, out = mo.stack(_labelled(spark, sf), NUM, "row_id", "y", {"rf": {"numTrees": 5}, "lr": {"maxIter": 5}, "svc": {"maxIter": 5}}, folds=2)
-    return out.select("row_id", "y", "pred")
+    train, rest = _split(mo.with_features(_labelled(spark, sf), NUM))
+    learners = {"rf": mo.classifier("rf", numTrees=5), "lr": mo.classifier("lr", maxIter=5), "svc": mo.classifier("svc", maxIter=5)}
+    model = sk.StackingClassifier(learners, "row_id", "y", folds=2).fit(train)
+    return model.transform(rest).select("row_id", "y", F.col("prediction").alias("pred"))
+
+
+@query("L05_cross_validation")
+def l05_models(spark, sf):
+    data = mo.with_features(_labelled(spark, sf), NUM).withColumn("y", F.coalesce("cls", "y"))
+    return sk.cross_validate(data, {"lr": mo.classifier("lr", maxIter=5), "dt": mo.classifier("dt", maxDepth=4)}, "row_id", "y", folds=3)[1]
 
 
 @query("M08_parameter_search")

@@ -22,9 +22,6 @@ def test_same_as_sql(spark, sf, name):
     assert state == "ok", f"{name}: {state} {note}"
 
 
-SLOW = {"M07_stacking", "M06_two_stage", "M05_train_and_evaluate", "K05_recursive_elimination"}
-
-
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_gives_rows(spark, sf, name):
     assert not catalog.QUERIES[name](spark, sf).isEmpty()
