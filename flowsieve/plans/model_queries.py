@@ -10,7 +10,7 @@ from flowsieve.plans import views as v
 from flowsieve.plans.flow_queries import settle
 from flowsieve.plans.registry import query, st, sts
 from flowsieve.session import scratch_path
-from flowsieve.streaming import change as ch, flows as sf_, keyed as ke
+from flowsieve.streaming import change as ch, flows as sf_, keyed as ke, patterns as pa
 
 ORDER = ["t", "pkt_id"]
 IDLE = 7200
@@ -110,6 +110,14 @@ def s06b(spark, sf):
     return ch.pattern_flags(e, "embedding", ch.fit_patterns(e, "embedding", 10)).select("vec_id", F.round("min_distance", 6).alias("min_distance"), "new_pattern")
 
 
+@query("S06_stream_patterns")
+def s06c(spark, sf):
+    e = v.table(spark, sf, "embeddings")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf)
+    samples, _ = pa.watch_patterns(stream, "embedding", ["vec_id"], ["vec_id"], scratch_path(spark, "patterns"))
+    return samples.select("vec_id", "window", F.round("min_distance", 6).alias("min_distance"), "new_pattern")
+
+
 @query("S07_combined_flag", """SELECT event_id, CAST(value > 30 AS INTEGER) + CAST(event_type = 'error' AS INTEGER) + coalesce(CAST(CASE WHEN user_id % 2 = 0 THEN value > 50 END AS INTEGER), 0)
  >= floor((2 + CAST(user_id % 2 = 0 AS INTEGER)) / 2) AS flag FROM events""")
 def s07(spark, sf):

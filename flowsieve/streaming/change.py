@@ -247,32 +247,6 @@ def pattern_flags(df: DataFrame, features: str, centres: Sequence[Sequence[float
         "new_pattern", F.col("min_distance") > F.col("limit")).drop("_d", "_m")
 
 
-def watch_patterns(stream: DataFrame, features: str, store: str, checkpoint: str, k: int = 10, seed: int = 42) -> None:
-    """Refit the centres on every micro-batch and append them, with a flag for new ones, to ``store``."""
-    spark = stream.sparkSession
-    schema = "batch bigint, position int, centre array<double>, is_new boolean"
-
-    def refit(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            if batch.limit(k).count() < k:
-                return
-            centres = fit_patterns(batch, features, k, seed)
-        finally:
-            batch.unpersist()
-        try:
-            seen = spark.read.schema(schema).parquet(store).where(F.col("batch") < number)
-            last = seen.where(F.col("batch") == (seen.agg(F.max("batch")).first()[0] if not seen.isEmpty() else -1)).orderBy("position").collect()
-        except Exception:  # nothing stored yet
-            last = []
-        flags = new_centres([r["centre"] for r in last], centres) if last else [False] * len(centres)
-        rows = [(number, i, c, f) for i, (c, f) in enumerate(zip(centres, flags))]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{store}/batch={number}")
-
-    q = stream.writeStream.foreachBatch(refit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
 def combined_flag(flags: Sequence[str]) -> Column:
     """True when at least half (rounded down) of the detectors that answered say so; absent answers do not count."""
     votes = total([F.coalesce(F.col(f).cast("int"), F.lit(0)) for f in flags])
