@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StandardScalerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsieve.functions.columns import clip, total
@@ -76,14 +79,14 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def smoothed_accuracy(
-    df: DataFrame, key: str, features: Sequence[str], weights: Sequence[float], bias: float, label: str, epsilon: float = 0.01, copies: int = 100,
+def noisy_votes(
+    df: DataFrame, key: str, features: Sequence[str], weights: Sequence[float], bias: float, epsilon: float, copies: int, out: str = "votes",
 ) -> DataFrame:
-    """Accuracy of the majority vote over noisy copies of each row.
+    """Adds ``out``: how many of ``copies`` noisy copies of a row the scorer puts in class 1.
 
     Gaussian noise on the features reaches a linear score as one Gaussian of
     size eps * |w|, so every copy is a number in the row and no row is repeated.
-    The noise is a hash of the row key: a retry draws the same.
+    The noise is a hash of the row key: a retry draws the same. A missing feature gives NULL.
     """
     norm = epsilon * math.sqrt(sum(w * w for w in weights))
     score = linear_score([F.col(c) for c in features], weights, bias)
@@ -94,5 +97,56 @@ def smoothed_accuracy(
         return (F.col("_score") + norm * noise >= 0).cast("int")
 
     votes = F.aggregate(F.sequence(F.lit(1), F.lit(copies)), F.lit(0), lambda acc, i: acc + flagged(i))
-    pred = (votes * 2 > copies).cast("int")
+    return made.withColumn(out, votes).drop("_score")
+
+
+def smoothed_accuracy(
+    df: DataFrame, key: str, features: Sequence[str], weights: Sequence[float], bias: float, label: str, epsilon: float = 0.01, copies: int = 100,
+) -> DataFrame:
+    """Accuracy of the majority vote over noisy copies of each row."""
+    made = noisy_votes(df, key, features, weights, bias, epsilon, copies, "_votes")
+    pred = (F.col("_votes") * 2 > copies).cast("int")
     return made.agg(F.avg((pred == F.col(label)).cast("int")).alias("smoothed_accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def share_bound(votes: int, copies: int, error: float) -> float:
+    """Exact binomial lower bound: the share at which ``votes`` or more of ``copies`` have probability ``error``."""
+    if votes == 0:
+        return 0.0
+    logs = [math.lgamma(copies + 1) - math.lgamma(i + 1) - math.lgamma(copies - i + 1) for i in range(votes, copies + 1)]
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        p = (low + high) / 2
+        tail = sum(math.exp(c + i * math.log(p) + (copies - i) * math.log1p(-p)) for i, c in enumerate(logs, votes))
+        low, high = (p, high) if tail < error else (low, p)
+    return low
+
+
+def certified_radius(
+    df: DataFrame, key: str, features: Sequence[str], weights: Sequence[float], bias: float, epsilon: float = 0.25, copies: int = 1000, error: float = 0.001,
+) -> DataFrame:
+    """Adds ``votes``, ``smoothed_pred`` and ``radius``: no change of the features shorter than the radius alters the majority, with
+    probability 1 - ``error`` a row. Radius and prediction are NULL where the votes do not settle a majority.
+
+    The radius depends on the vote count alone, so it is a table of ``copies`` + 1 numbers in the plan.
+    """
+    shares = [share_bound(v, copies, error / 2) for v in range(copies + 1)]  # the class is picked by the same votes: half the error each
+    radii = [epsilon * NormalDist().inv_cdf(min(p, 1 - 1e-15)) if p > 0.5 else None for p in shares]
+    made = noisy_votes(df, key, features, weights, bias, epsilon, copies)
+    one = F.col("votes") * 2 > copies
+    radius = F.get(F.array(*[F.lit(r).cast("double") for r in radii]), F.when(one, F.col("votes")).otherwise(copies - F.col("votes")))
+    return made.withColumn("radius", radius).withColumn("smoothed_pred", F.when(F.col("radius").isNotNull(), one.cast("int")))
+
+
+def fitted_weights(model: PipelineModel) -> tuple[list[float], float]:
+    """(weights, bias) over the input columns of a logistic model, a standardising stage before it included."""
+    linear = model.stages[-1]
+    weights, bias = [float(w) for w in linear.coefficients], float(linear.intercept)
+    for stage in model.stages[:-1]:
+        if isinstance(stage, StandardScalerModel):
+            unit = [1.0 / s if s > 0 else 0.0 for s in stage.std]
+            weights = [w * u for w, u in zip(weights, unit)]
+            bias -= sum(w * float(m) for w, m in zip(weights, stage.mean))
+        elif not isinstance(stage, VectorAssembler):
+            raise ValueError(f"cannot see through a {type(stage).__name__}")
+    return [float(w) for w in weights], float(bias)

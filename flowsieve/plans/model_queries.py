@@ -212,10 +212,26 @@ def r02(spark, sf):
     return settle(ro.attack(_lin(spark, sf), FEATURES, ro.pgd(FEATURES, W, "y", 0.05, 0.01, 3)).select("row_id", *[f"{x}_adv" for x in FEATURES]))
 
 
+_HIT = f"avg(CAST(CAST({_z('_adv')} >= 0 AS INTEGER) = y AS INTEGER))"
+
+
+# ten steps of a quarter of epsilon end at epsilon, so both attacks move a row equally far
 @query("R03_epsilon_sweep", f"WITH {LIN} " + " UNION ALL ".join(
-    f"SELECT {st(str(e))} AS epsilon, {st('avg(CAST(CAST(' + _z('_adv') + ' >= 0 AS INTEGER) = y AS INTEGER))')} AS fgsm_accuracy FROM (SELECT y, {_moved(e)} FROM lin)" for e in ro.EPSILONS))
+    f"SELECT {st(str(e))} AS epsilon, {st('f.a')} AS fgsm_accuracy, {st('p.a')} AS pgd_accuracy, {st('(f.a + p.a) / 2')} AS robustness_score"
+    f" FROM (SELECT {_HIT} AS a FROM (SELECT y, {_moved(e)} FROM lin)) f, (SELECT {_HIT} AS a FROM (SELECT y, {_moved(min(10 * 0.25 * e, e))} FROM lin)) p" for e in ro.EPSILONS))
 def r03(spark, sf):
-    return settle(ro.epsilon_sweep(_lin(spark, sf), FEATURES, W, BIAS, "y").select("epsilon", "fgsm_accuracy"))
+    return settle(ro.epsilon_sweep(_lin(spark, sf), FEATURES, W, BIAS, "y"))
+
+
+@query("R03_fitted_sweep")
+def r03b(spark, sf):
+    train, rest = _split(_lin(spark, sf))
+    return settle(ro.epsilon_sweep(rest, FEATURES, *ro.fitted_weights(mo.fit_model(train, FEATURES, "y", "lr", standardize=True, maxIter=10)), "y"))
+
+
+@query("R05_certified_radius")
+def r05b(spark, sf):
+    return settle(ro.certified_radius(_lin(spark, sf), "row_id", FEATURES, W, BIAS, 0.1, 200).select("row_id", "y", "votes", "smoothed_pred", "radius"))
 
 
 @query("R04_perturbation_summary", f"""WITH {LIN}, m AS (SELECT *, {_moved(0.05)} FROM lin), s AS (SELECT avg(CAST(CAST({_z()} >= 0 AS INTEGER) = y AS INTEGER)) AS c, avg(CAST(CAST({_z('_adv')} >= 0 AS INTEGER) = y AS INTEGER)) AS a,
