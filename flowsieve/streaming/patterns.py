@@ -14,6 +14,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from flowsieve.operators.ordering import index_rows
 
@@ -21,6 +22,7 @@ from flowsieve.operators.ordering import index_rows
 EVERY, CENTRES, NEW_SHARE, NEW_STDS = 1000, 10, 0.75, 2.0
 
 _OFFSETS = "start long, n long"
+_SAMPLES = "place long, window long, min_distance double, new_pattern boolean"
 _CENTRES = "window long, position int, centre array<double>"
 
 
@@ -125,9 +127,14 @@ def pattern_batch(
 def watch_patterns(
     stream: DataFrame, features: str, keep: Sequence[str], order: Sequence[str], store: str, every: int = EVERY, k: int = CENTRES, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """(samples, patterns) of a stream read to its present end; a later call with the same store goes on where this one stopped."""
+    """(samples, patterns) of a stream read to its present end; a later call with the same store goes on where this one stopped.
+    A stream without files gives none of either."""
+    spark = stream.sparkSession
+    kept = stream.select(*keep, *[c for c in order if c not in keep]).schema.fields
+    samples = StructType([*kept, *spark.createDataFrame([], _SAMPLES).schema.fields])
+    spark.createDataFrame([], samples).write.mode("ignore").parquet(f"{store}/samples/batch=-1")
+    spark.createDataFrame([], f"{_CENTRES}, is_new boolean").write.mode("ignore").parquet(f"{store}/patterns/batch=-1")
     step = pattern_batch(store, features, keep, order, every, k, seed)
     q = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.parquet(f"{store}/samples").drop("batch"), spark.read.schema(f"{_CENTRES}, is_new boolean, batch long").parquet(f"{store}/patterns").drop("batch")
+    return spark.read.schema(samples).parquet(f"{store}/samples"), spark.read.schema(f"{_CENTRES}, is_new boolean, batch long").parquet(f"{store}/patterns").drop("batch")

@@ -78,3 +78,34 @@ def test_watch_goes_on_where_it_stopped(spark, rows):
     assert samples.count() == 230 and found.count() == 4 * K
     whole, _ = cut(spark, rows, [])
     assert outcome(spark, store) == outcome(spark, whole)
+
+
+def test_stream_of_a_table_in_a_folder_or_a_file_or_empty(spark, rows, tmp_path):
+    """A table may be a folder of part files, whose names are not the table's; without any file there is no sample."""
+    import pyarrow.parquet as pq
+
+    from flowsieve.plans import views as v
+
+    good = spark.createDataFrame(rows[:120], SCHEMA)
+    good.repartition(3).write.parquet(f"{tmp_path}/folder/embeddings.parquet")
+    (tmp_path / "file").mkdir()
+    pq.write_table(good.toArrow(), f"{tmp_path}/file/embeddings.parquet")
+    found = {}
+    for kind in ("folder", "file"):
+        stream = v.table_stream(spark, f"{tmp_path}/{kind}", "embeddings")
+        samples, patterns = pt.watch_patterns(stream, "v", ["id"], ["id"], scratch_path(spark, "patterns"), EVERY, K)
+        found[kind] = sorted(map(tuple, samples.select("id", "window", F.round("min_distance", 6), "new_pattern").collect()))
+        assert len(found[kind]) == 120 and patterns.count() == 2 * K
+    assert found["folder"] == found["file"]
+    (tmp_path / "none").mkdir()
+    none, patterns = pt.watch_patterns(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/none"), "v", ["id"], ["id"], scratch_path(spark, "patterns"), EVERY, K)
+    assert none.count() == 0 == patterns.count()
+
+
+def test_packet_stream_of_a_folder(spark, tmp_path, sf):
+    from flowsieve.plans import views as v
+    from flowsieve.streaming import flows as fs
+
+    v.table(spark, sf, "events").repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    out = fs.run_and_read(spark, v.packet_stream(spark, str(tmp_path)).select("pkt_id"), scratch_path(spark, "packets"))
+    assert out.count() == v.packets(spark, sf).count()
