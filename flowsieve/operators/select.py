@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flowsieve.functions.columns import equal_width_bin, safe_divide
 from flowsieve.operators.gram import cross_validated_lasso, fit_components, gram_matrix
-from flowsieve.operators.ordering import attach_row, match_keys, melt
+from flowsieve.operators.ordering import attach_row, match_keys, melt, training_rows
 
 # Variance below which a feature is dropped, correlation above which it is.
 MIN_VARIANCE, MAX_CORRELATION = 0.01, 0.95
@@ -93,7 +93,8 @@ def assemble(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
 
 def _importances(df: DataFrame, columns: Sequence[str], label: str, model: str, trees: int, depth: int, seed: int) -> list[tuple[str, float]]:
     cls = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed) if model == "rf" else GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
-    fitted = cls.fit(assemble(df, columns, label))
+    stored = training_rows(df.select(*dict.fromkeys([*columns, label])))
+    fitted = cls.fit(assemble(stored, columns, label))
     return list(zip(columns, [float(x) for x in fitted.featureImportances.toArray()]))
 
 
