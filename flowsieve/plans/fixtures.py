@@ -59,24 +59,31 @@ def write_captures(packets: DataFrame, folder: str) -> list[str]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        parts = [b for b in batches if len(b)]
-        if not parts:
+        parts = (b for b in batches if len(b))
+        first = next(parts, None)
+        if first is None:
             return
         uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
         system, inner = fs.FileSystem.from_uri(uri)
         system.create_dir(inner, recursive=True)
         path = f"{inner}/part-{TaskContext.get().partitionId():05d}.pcap"
         with system.open_output_stream(path) as f:
-            for i, b in enumerate(parts):
-                f.write(capture_bytes(b)[24 if i else 0:])
+            f.write(capture_bytes(first))
+            for b in parts:
+                f.write(capture_bytes(b)[24:])
         yield pd.DataFrame({"path": [f"{folder}/part-{TaskContext.get().partitionId():05d}.pcap"]})
 
     return sorted(r.path for r in packets.mapInPandas(write, "path string").collect())
 
 
+CAPTURES, CAPTURE_PACKETS = 4, 250_000  # files at least, packets of a file at most
+
+
 def capture_files(spark, packets: DataFrame) -> list[str]:
+    """Captures of all packets; more packets make more files, so that no task writes more."""
+    files = max(CAPTURES, -(-packets.count() // CAPTURE_PACKETS))
     rows = packets.select(
         F.col("pkt_id"), F.col("t_us"), F.col("protocol").alias("kind"), F.col("k").alias("src"), (F.col("flow_id") % 7).alias("dst"),
         (F.col("pkt_id") % 60000 + 1024).cast("int").alias("sport"), F.col("dst_port").alias("dport"), (F.col("k") % 20).alias("size"),
     )
-    return write_captures(rows.repartition(4, "pkt_id").sortWithinPartitions("t_us", "pkt_id").drop("pkt_id"), scratch_path(spark, "captures"))
+    return write_captures(rows.repartition(files, "pkt_id").sortWithinPartitions("t_us", "pkt_id").drop("pkt_id"), scratch_path(spark, "captures"))

@@ -41,6 +41,7 @@ FRAGMENT, AUTHENTICATION = 44, 51
 FILE_HEADER, RECORD_HEADER = 24, 16
 RANGE_BYTES = 8 << 20
 BLOCK_RANGES = 16
+MANY_RANGES = 512
 MOST_RECORD, MOST_FULL = 1 << 18, 1 << 24
 #: A record is taken for one only if its second lies so far before or after that of the file's first record.
 CLOCK_BACK, CLOCK_ON = 1 << 25, 1 << 30
@@ -80,6 +81,12 @@ def list_captures(paths: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+def wide_enough(total: int, piece: int) -> int:
+    """Bytes of a range: ``piece``, and more where a read would have over ``MANY_RANGES`` of them, as each costs the search for its first
+    record; at most ``RANGE_BYTES`` unless ``piece`` is larger."""
+    return max(piece, min(-(-total // MANY_RANGES), RANGE_BYTES))
+
+
 def ranges_of(path: str, size: int, piece: int) -> list[ByteRange]:
     with open_file(path) as f:
         blocks = f.read(4) == struct.pack("<I", SECTION)
@@ -319,7 +326,11 @@ class CaptureReader(DataSourceReader):
         self.with_raw = options.get("raw", "false").lower() == "true"
 
     def partitions(self):
-        return [r for path, size, _ in list_captures(self.paths) for r in ranges_of(path, size, self.piece)] or [ByteRange("", 0, 0)]
+        return self.ranges([(path, size) for path, size, _ in list_captures(self.paths)])
+
+    def ranges(self, files):
+        piece = wide_enough(sum(size for _, size in files), self.piece)
+        return [r for path, size in files for r in ranges_of(path, size, piece)] or [ByteRange("", 0, 0)]
 
     def read(self, partition):
         return read_range(partition, self.with_raw) if partition.path else iter(())
@@ -339,7 +350,7 @@ class CaptureStreamReader(DataSourceStreamReader):
 
     def partitions(self, start, end):
         new = [(p, n) for p, n, m in list_captures(self.batch.paths) if start["upto"] < m <= end["upto"]]
-        return [r for path, size in new for r in ranges_of(path, size, self.batch.piece)] or [ByteRange("", 0, 0)]
+        return self.batch.ranges(new)
 
     def read(self, partition):
         return self.batch.read(partition)
@@ -349,7 +360,7 @@ class CaptureStreamReader(DataSourceStreamReader):
 
 
 class CaptureSource(DataSource):
-    """Options: ``path`` (files or folders, comma-separated), ``rangeBytes`` (bytes a task reads), ``raw`` (keep the frames).
+    """Options: ``path`` (files or folders, comma-separated), ``rangeBytes`` (bytes a task reads, more in a large read), ``raw`` (keep the frames).
 
     Rows as in ``SCHEMA``: ``offset`` is the record's place in its file, so (path, offset) is a key and orders the packets.
     Fields of layers that a packet does not have are NULL; other protocols than TCP and UDP are given by number.
