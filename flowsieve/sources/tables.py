@@ -14,6 +14,7 @@ from flowsieve.functions.columns import total
 from flowsieve.operators.clean import fill_missing, numeric_columns, vpn_label
 from flowsieve.operators.combine import stack_tables
 from flowsieve.operators.sampling import head_per_file
+from flowsieve.session import materialize
 from flowsieve.sources.heads import arff_heads, csv_headers
 
 TABLE_TYPES = {".csv": "csv", ".arff": "arff", ".pcap": "pcap", ".cap": "pcap"}
@@ -274,7 +275,7 @@ def combine_scenarios(
     file = F.element_at(F.split("_path", "/"), -1)
     if label and label not in out.columns:
         out = out.withColumn(label, vpn_label(file if label_from == "name" else F.col("_path")))
-    out = out.withColumn("source_file", file).drop("_path")
+    out = materialize(out.withColumn("source_file", file).drop("_path"), "scenarios")  # the files are parsed once, not for every statistic
     numbers = [c for c in numeric_columns(out) if c != label]
     texts = [c for c, k in out.dtypes if k == "string" and c not in ("scenario", "source_file")]
     out = fill_missing(out, "median", numbers)
