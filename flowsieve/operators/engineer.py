@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowsieve.functions.columns import EPS, total
 from flowsieve.operators.clean import numeric_columns
-from flowsieve.operators.flows import percentile_ranks, widen
+from flowsieve.operators.flows import with_percentile_ranks
 from flowsieve.operators.ordering import attach_row, column_quantiles, prob_name
 from flowsieve.operators.scale import apply_scaler, fit_scaler
 
@@ -222,4 +222,6 @@ def simple_features(df: DataFrame, key: str, columns: Sequence[str], burst: floa
         "high_activity": (x > q(high)).cast("int"), "low_activity": (x < q(low)).cast("int"),
     }).drop("_q", "_n")
     names = {c: f"rank_{c}" for c in columns[:ranked]}
-    return out.join(widen(percentile_ranks(df, key, list(names)), [key], names, "rank"), key)
+    # a row needs a key and one of the ranked values
+    kept = out.where(F.col(key).isNotNull() & F.coalesce(*[F.col(c).cast("double") for c in names]).isNotNull())
+    return with_percentile_ranks(kept, names, [key])

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flowsieve.functions.columns import EPS, MIN_DURATION
 from flowsieve.operators.ordering import (
-    block_window, group_quantiles, index_rows, join_group_stats, join_heavy_stats, match_keys, melt,
+    FEW_KEYS, block_window, group_quantiles, index_rows, join_group_stats, join_heavy_stats, match_keys, melt,
     running_totals, with_look_back, with_previous,
 )
+from flowsieve.session import materialize
 
 # The names counted per flow.
 PROTOCOLS = ["TCP", "UDP", "ICMP", "TLS", "HTTPS"]
@@ -148,51 +150,58 @@ def flow_profile(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataF
 
 def value_entropy(
     df: DataFrame, key: Sequence[str], values: Mapping[str, str], eps: float = 0.0, normalized: bool = False,
-    distinct: Mapping[str, str] | None = None,
+    distinct: Mapping[str, str] | None = None, apart: bool = False,
 ) -> DataFrame:
     """Shannon entropy in bits of each column in ``values`` (output name -> column).
 
     With ``eps`` the form is ``-sum p*log2(p+eps)``; ``normalized`` adds ``<name>Norm``,
     the entropy over log2(distinct values + eps); ``distinct`` adds distinct counts of
-    further columns. Values are counted per (key, value) before anything is gathered per key.
+    further columns. Values are counted per (key, value) before anything is gathered per key. ``apart`` counts each column
+    in a pass of its own, for tables that are cheap to read: a task then holds the counts of one column.
     """
     distinct = dict(distinct or {})
-    types = dict(df.dtypes)
-    parts = []
-    for name, c in {**values, **distinct}.items():
-        text = types[c] in ("string", "binary", "boolean")
-        number = F.lit(None).cast("double") if text else F.col(c).cast("double")
-        word = F.col(c).cast("string") if text else F.lit(None).cast("string")
-        parts.append(F.struct(F.lit(name).alias("feature"), number.alias("num"), word.alias("txt")))
-    cells = df.select(*key, F.explode(F.array(*parts)).alias("_e")).select(*key, "_e.*")
-    cells = cells.where(F.col("num").isNotNull() | F.col("txt").isNotNull())
-    counts = cells.groupBy(*key, "feature", "num", "txt").agg(F.count(F.lit(1)).alias("n"))
+    columns = {**values, **distinct}
+    if apart:
+        counts = reduce(lambda a, b: a.unionByName(b), [_value_counts(df, key, {i: c}) for i, c in enumerate(columns.values())])
+    else:
+        counts = _value_counts(df, key, dict(enumerate(columns.values())), [] if not eps else ["num", "txt"])
     group = [*key, "feature"]
-    n = F.col("n").cast("double")
     if eps:
         totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
-        p = F.col("n") / F.col("total")
-        per = (
-            join_group_stats(counts, totals, group, ["num", "txt"]).groupBy(*group)
-            .agg((-F.sum(p * F.log2(p + F.lit(eps)))).alias("h"), F.count(F.lit(1)).alias("distinct"))
-        )
-    else:
-        per = counts.groupBy(*group).agg(
-            (F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)).alias("h"), F.count(F.lit(1)).alias("distinct")
-        )
-    top = F.log2(F.col("distinct") + F.lit(EPS))
-    per = per.withColumn("norm", F.when(top > 0, F.col("h") / top).otherwise(F.lit(0.0)))
+        spread = [c for c in ("num", "txt") if c in counts.columns]
+        counts = join_group_stats(counts, totals, group, spread)
     picks = []
-    for name in values:
-        mine = F.col("feature") == name
-        picks.append(zero(F.max(F.when(mine, F.col("h")))).alias(name))
+    top = lambda i: F.log2(F.count_if(F.col("feature") == i) + F.lit(EPS))
+    for i, name in enumerate(columns):
+        mine = F.col("feature") == i
+        if name in distinct:
+            picks.append(F.count_if(mine).alias(name))
+            continue
+        n = F.when(mine, F.col("n").cast("double"))
+        p = F.when(mine, F.col("n") / F.col("total")) if eps else None
+        h = -F.sum(p * F.log2(p + F.lit(eps))) if eps else F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
+        picks.append(zero(h).alias(name))
         if normalized:
-            picks.append(zero(F.max(F.when(mine, F.col("norm")))).alias(f"{name}Norm"))
-    for name in distinct:
-        picks.append(F.coalesce(F.max(F.when(F.col("feature") == name, F.col("distinct"))), F.lit(0)).alias(name))
-    if not key:
-        return per.agg(*picks)
-    return per.groupBy(*key).agg(*picks)
+            picks.append(zero(F.when(top(i) > 0, h / top(i)).otherwise(F.when(F.count_if(mine) > 0, F.lit(0.0)))).alias(f"{name}Norm"))
+    return counts.groupBy(*key).agg(*picks) if key else counts.agg(*picks)
+
+
+def _value_counts(df: DataFrame, key: Sequence[str], columns: Mapping[int, str], keep: Sequence[str] = ()) -> DataFrame:
+    """(key, feature, n, and those of num and txt in ``keep``): rows of each value, texts and numbers in a column each, those only that are needed."""
+    types = dict(df.dtypes)
+    text = {i: types[c] in ("string", "binary", "boolean") for i, c in columns.items()}
+    cells = {"num": lambda i: F.lit(None).cast("double") if text[i] else F.col(columns[i]).cast("double"),
+             "txt": lambda i: F.col(columns[i]).cast("string") if text[i] else F.lit(None).cast("string")}
+    held = [c for c in cells if (c == "txt") in text.values()]
+    if len(columns) == 1:
+        [i] = columns
+        long = df.select(*key, cells[held[0]](i).alias(held[0]))
+        counts = long.where(F.col(held[0]).isNotNull()).groupBy(*key, held[0]).agg(F.count(F.lit(1)).alias("n")).withColumn("feature", F.lit(i))
+    else:
+        parts = [F.struct(F.lit(i).alias("feature"), *[cells[c](i).alias(c) for c in held]) for i in columns]
+        long = df.select(*key, F.explode(F.array(*parts)).alias("_e")).select(*key, "_e.*")
+        counts = long.where(F.coalesce(*[F.col(c).cast("string") for c in held]).isNotNull()).groupBy(*key, "feature", *held).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*key, "feature", *[c for c in held if c in keep], "n")
 
 
 def tls_features(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
@@ -375,6 +384,29 @@ def percentile_ranks(df: DataFrame, row_key: str, columns: Sequence[str]) -> Dat
     return ranked.select(row_key, "feature", "rank")
 
 
+def with_percentile_ranks(df: DataFrame, names: Mapping[str, str], spread: Sequence[str]) -> DataFrame:
+    """``df`` with the average-tie rank over the non-NULL count of each column in ``names`` (column -> rank column), NULL for NULL.
+
+    The ranks of the distinct values are stored. Rows of a column with few of them do not move; those of others meet
+    their values once a column.
+    """
+    counts = melt(df, [], list(names)).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    cum = running_totals(materialize(counts, "value-counts"), ["feature"], "value", ["n"])
+    rank = (F.col("cum_n") - (F.col("n") - 1) / 2) / F.col("all_n")
+    ranks = materialize(cum.select("feature", "value", F.col("n").alias("_n"), rank.alias("_rank")), "value-ranks")
+    sizes = {r["feature"]: r["count"] for r in ranks.groupBy("feature").count().collect()}
+    out = df
+    for c, name in sorted(names.items(), key=lambda x: -sizes.get(x[0], 0)):  # rows move before they have grown
+        own = ranks.where(F.col("feature") == c).select(F.col("value").alias("_value"), "_n", F.col("_rank").alias(name))
+        out = out.withColumn("_value", F.col(c).cast("double"))
+        if sizes.get(c, 0) <= FEW_KEYS:
+            out = out.join(F.broadcast(own), "_value", "left")
+        else:
+            out = join_heavy_stats(out, own, ["_value"], "_n", how="left", spread=spread)
+        out = out.drop("_value", "_n")
+    return out
+
+
 def widen(long: DataFrame, key: Sequence[str], names: Mapping[str, str], value: str) -> DataFrame:
     """Long (key, feature, value) to one column per entry of ``names`` (feature -> column name)."""
     return long.groupBy(*key).agg(

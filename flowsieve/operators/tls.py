@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from flowsieve.functions.columns import EPS, equal_width_bin
 from flowsieve.operators.flows import value_entropy, zero
 from flowsieve.operators.ordering import attach_row, index_rows, join_heavy_stats, spread_small
+from flowsieve.session import materialize
 
 # Key length by cipher name, names of weak ciphers, key exchanges with forward secrecy.
 CIPHER_BITS = [("AES_256", 256), ("AES_128", 128), ("CHACHA20", 256), ("RC4", 128), ("3DES", 112)]
@@ -37,19 +38,25 @@ def certificate_entropy(
     """Entropy of the density histogram of all z-normalised certificate numbers of a flow; may be negative.
 
     The bins of the z-scores are the bins of the raw numbers, so only the bin
-    width is rescaled. Equal numbers fall in one bin of width 0.1.
+    width is rescaled. Equal numbers fall in one bin of width 0.1. A certificate travels as one row with
+    its numbers, and a flow's bins are counted as columns, so a flow is one row of each aggregate.
     """
     key = list(key)
-    cells = certs.select(*key, F.explode(F.array(*[F.col(c).cast("double") for c in numbers])).alias("x"))
-    stats = cells.groupBy(*key).agg(
+    certs = certs.select(*key, F.array(*[F.col(c).cast("double") for c in numbers]).alias("_x"))
+    stats = certs.select(*key, F.explode("_x").alias("x")).groupBy(*key).agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.stddev_pop("x").alias("sd"), F.count("x").alias("total")
     )
-    binned = join_heavy_stats(cells, stats, key, "total").groupBy(
-        *key, equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("sd").alias("sd"), F.first("total").alias("total"))
+    rows = join_heavy_stats(certs, stats, key, "total")
+    cells = rows.select(*key, "lo", "hi", "sd", "total", F.explode("_x").alias("x"))
+    cells = cells.withColumn("bin", F.coalesce(equal_width_bin(F.col("x"), F.col("lo"), F.col("hi"), bins), F.lit(0)))  # 0: no number
+    per = cells.groupBy(*key).agg(
+        *[F.count_if(F.col("bin") == b).alias(f"_n{b}") for b in range(bins + 1)], *[F.first(c).alias(c) for c in ("lo", "hi", "sd", "total")])
     width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("sd") / bins).otherwise(F.lit(1.0 / bins))
-    d = F.col("n") / F.col("total") / width
-    return binned.groupBy(*key).agg((-F.sum(d * F.log2(d + F.lit(EPS)))).alias("certificate_entropy"))
+    entropy = F.lit(0.0)
+    for b in range(bins + 1):
+        d = F.col(f"_n{b}") / F.col("total") / width
+        entropy = entropy + F.when(F.col(f"_n{b}") > 0, d * F.log2(d + F.lit(EPS))).otherwise(F.lit(0.0))
+    return per.select(*key, (-entropy).alias("certificate_entropy"))
 
 
 def handshake_timing(packets: DataFrame, key: Sequence[str], t: str = "ts", size: str = "size") -> DataFrame:
@@ -101,6 +108,7 @@ def forward_secrecy(exchange: str | Column) -> Column:
 
 def anomaly_scores(features: DataFrame) -> DataFrame:
     """Sum of |z| of the three entropies, + 2 for a weak cipher, + 1 without forward secrecy."""
+    features = materialize(features, "handshakes")  # read for the statistics and for the scores
     stats = features.agg(
         *[F.avg(c).alias(f"m_{c}") for c in ENTROPY_NAMES], *[F.stddev_pop(c).alias(f"s_{c}") for c in ENTROPY_NAMES]
     )

@@ -97,7 +97,7 @@ def a09(spark, sf):
 @query("H01_suite_entropy", f"""WITH {v.TLS_LINES}, a AS ({ENTROPY.format(eps='0', col='suite', rel='tls')}), b AS ({ENTROPY.format(eps='0', col='ext', rel='tls')})
 SELECT flow_id, {st('a.h')} AS cipher_suite_entropy, {st('b.h')} AS extension_entropy FROM a JOIN b USING (flow_id)""")
 def h01(spark, sf):
-    return settle(fl.value_entropy(v.tls_lines(spark, sf), ["flow_id"], {"cipher_suite_entropy": "suite", "extension_entropy": "ext"}))
+    return settle(fl.value_entropy(v.tls_lines(spark, sf), ["flow_id"], {"cipher_suite_entropy": "suite", "extension_entropy": "ext"}, apart=True))
 
 
 @query("H01_array_entropy", f"""WITH w AS (SELECT doc_id AS flow_id, unnest(string_split(text, ' ')) AS x FROM documents), a AS ({ENTROPY.format(eps='0', col='x', rel='w')})
@@ -172,7 +172,7 @@ hs AS (SELECT flow_id, abs((e1-m1)/s1) + abs((e2-m2)/s2) + abs((e3-m3)/s3) + CAS
 
 
 def _handshake_features(spark, sf):
-    e = fl.value_entropy(v.tls_lines(spark, sf), ["flow_id"], {"cipher_suite_entropy": "suite", "extension_entropy": "ext"})
+    e = fl.value_entropy(v.tls_lines(spark, sf), ["flow_id"], {"cipher_suite_entropy": "suite", "extension_entropy": "ext"}, apart=True)
     suite = F.when(F.col("flow_id") % 4 == 0, "TLS_RC4").otherwise("TLS_AES_256_GCM")
     exchange = F.when(F.col("flow_id") % 3 == 0, "ecdhe").otherwise("RSA")
     return e.join(_cert(spark, sf), "flow_id").withColumns(
