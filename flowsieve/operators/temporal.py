@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flowsieve.functions.columns import EPS, clip, equal_width_bin, safe_divide
 from flowsieve.operators.flows import ORDER, iat_with_previous, with_iat, zero
 from flowsieve.operators.ordering import (
-    block_window, group_quantiles, index_rows, join_group_stats, join_heavy_stats, with_look_back, with_previous,
+    block_window, by_key, group_quantiles, index_rows, join_group_stats, join_heavy_stats, with_look_back, with_previous,
 )
 from flowsieve.operators.spectral import approximate_entropy, gap_spectrum
+from flowsieve.session import materialize
 
 # Packets a flow needs, the features the stability score reads, DFA scales, box grids.
 MIN_PACKETS = 10
@@ -154,19 +155,19 @@ def with_flow_defaults(packets: DataFrame, features: DataFrame, key: Sequence[st
     return out.select(*key, *[F.coalesce(F.col(c), F.lit(d)).alias(c) for c, d in defaults.items()])
 
 
-def hurst_exponent(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
+def hurst_exponent(packets: DataFrame, key: Sequence[str] = ("flow_id",), deviation: DataFrame | None = None) -> DataFrame:
     """log(range of the running deviation / std) / log(n), within [0, 1]; 0.5 without enough gaps."""
-    y = running_deviation(gap_series(packets, key), key)
+    y = running_deviation(gap_series(packets, key), key) if deviation is None else deviation
     per = y.groupBy(*key).agg((F.max("y") - F.min("y")).alias("r"), F.first("sd").alias("sd"), F.first("n").alias("n"))
     ok = (F.col("n") >= MIN_PACKETS) & (F.col("sd") > 0)
     h = F.when(ok, clip(F.log(F.when(F.col("r") > 0, F.col("r") / F.when(F.col("sd") > 0, F.col("sd")))) / F.log(F.col("n")), 0, 1))
     return with_flow_defaults(packets, per.select(*key, h.alias("hurst_exponent")), key, {"hurst_exponent": 0.5})
 
 
-def fractal_dimension(packets: DataFrame, key: Sequence[str] = ("flow_id",), grids: Sequence[int] = BOX_GRIDS) -> DataFrame:
+def fractal_dimension(packets: DataFrame, key: Sequence[str] = ("flow_id",), grids: Sequence[int] = BOX_GRIDS, gaps: DataFrame | None = None) -> DataFrame:
     """``fractal_dimension`` (1 by definition, its grids have one box) and ``box_dimension``,
     the slope of log(occupied boxes) over log(grid), within [1, 2]."""
-    gaps = gap_series(packets, key)
+    gaps = gap_series(packets, key) if gaps is None else gaps
     stats = gaps.groupBy(*key).agg(F.min("iat").alias("lo"), F.max("iat").alias("hi"), F.count(F.lit(1)).alias("n"))
     rows = join_heavy_stats(gaps, stats, key, "n").withColumn("g", F.explode(F.array(*[F.lit(g) for g in grids])))
     level = (F.col("iat") - F.col("lo")) / (F.col("hi") - F.col("lo") + EPS)
@@ -186,15 +187,17 @@ def dfa_windows(n: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(DFA_SCALES - 1)), at)))
 
 
-def long_range_dependence(packets: DataFrame, key: Sequence[str] = ("flow_id",), aligned: bool = False) -> DataFrame:
+def long_range_dependence(packets: DataFrame, key: Sequence[str] = ("flow_id",), aligned: bool = False, deviation: DataFrame | None = None) -> DataFrame:
     """|slope - 0.5| of log fluctuation over log window size, within [0, 1]; needs 20 gaps and 3 scales.
 
     Fluctuations of windows of at least 4 gaps are set against the window sizes
     counted from the smallest; ``aligned`` sets each against its own size.
     """
     key = list(key)
-    y = running_deviation(gap_series(packets, key), key).where(F.col("n") >= DFA_MIN_GAPS)
+    y = (running_deviation(gap_series(packets, key), key) if deviation is None else deviation).where(F.col("n") >= DFA_MIN_GAPS)
     sizes = dfa_windows(F.col("n"))
+    # little data, much work: a row becomes one per scale
+    y = by_key(y.withColumn("_block", F.floor(F.col("pos") / 4096)), [*key, "_block"])
     cells = y.select(*key, "pos", "y", "n", F.posexplode(F.filter(sizes, lambda s: s >= DFA_MIN_WINDOW)).alias("rank", "w"), sizes.alias("sizes"))
     part = F.floor((F.col("pos") - 1) / F.col("w"))
     cells = cells.withColumn("part", part).where(F.col("part") < F.floor(F.col("n") / F.col("w")))
@@ -240,13 +243,17 @@ def rhythm_features(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> Da
 
 
 def flow_invariants(packets: DataFrame, key: Sequence[str] = ("flow_id",)) -> DataFrame:
-    """All invariant features, one row per flow."""
+    """All invariant features, one row per flow. Packets, gaps and their deviation are stored, as several features read them."""
     key = list(key)
+    packets = materialize(packets.select(*key, *ORDER, "size", "direction"), "packets")
+    gaps = materialize(gap_series(packets, key), "gaps")
+    deviation = materialize(running_deviation(gaps, key), "deviation")
     out = gap_rhythm(packets, key)
     for part in (
         size_sequence_entropy(packets, key), size_memory(packets, key), direction_balance(packets, key),
         with_flow_defaults(packets, periodic_features(packets, key), key, {"periodicity_strength": 0.0, "dominant_frequency": 0.0, "spectral_entropy": 0.0}),
-        hurst_exponent(packets, key), fractal_dimension(packets, key).drop("box_dimension"), long_range_dependence(packets, key),
+        hurst_exponent(packets, key, deviation), fractal_dimension(packets, key, gaps=gaps).drop("box_dimension"),
+        long_range_dependence(packets, key, deviation=deviation),
     ):
         out = out.join(part, key)
     return out
