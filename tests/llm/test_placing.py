@@ -203,3 +203,25 @@ def test_components(spark):
     linked = {x for p in pairs if p[0] != p[1] for x in p}
     assert got == {i: int(forest.root[i]) for i in linked}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_words_and_parts_share_one_bounded_store(monkeypatch):
+    """A word is made once while it is held, a part met as a word is not made again, and ids do not depend on the store (op1)."""
+    from tokenizers import Tokenizer
+
+    path = catalog.tokenizer_file("word_bpe_49k.json")
+    whole, words = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    texts = ["It's the Café's 12,5 l'Été straße naïve µ ÷ 日本 don't… x<y", "the it café's THE the's 's ... <", f"a{special[0]}b {special[-1]}", None, "", "  \n\t"]
+    made, make = [], words.known.make
+    words.known.make = lambda word: made.append(word) or make(word)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert [x.tolist() for x in words.encode(texts)] == want
+    assert len(made) == len(set(made)) and b"the" in made and b"it" in made
+    count = len(made)
+    assert [x.tolist() for x in words.encode(texts)] == want and len(made) == count
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    for i in range(20):
+        more = [f"{t} w{i} q{i}z" for t in texts]
+        assert [x.tolist() for x in words.encode(more)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in more]
+        assert len(words.known) + len(words.known.before) < 150
