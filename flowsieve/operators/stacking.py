@@ -1,6 +1,6 @@
 """Cross-validated training and a stacking classifier as an Estimator with its Model.
 
-Folds are a stored column, so every fit reads the same rows; the fits of folds and learners run side by side, each a Spark job of
+Folds are stored, each in files of its own, so every fit reads the same rows and no others; the fits of folds and learners run side by side, each a Spark job of
 its own. Out-of-fold answers are a table. Models score rows they never saw, in batches and in streams: scoring is a chain of
 ``transform`` calls over the same rows, without a join.
 """
@@ -105,7 +105,7 @@ def cross_validate(
     Rows without a label are left out. Folds follow a digest of the key, so a retry draws the same.
     """
     data = df.where(F.col(label).isNotNull()).select(key, label, features)
-    data = materialize(fold_numbers(data, key, folds, label), "folds")
+    data = materialize(fold_numbers(data, key, folds, label), "folds", "fold")
     classes = class_count(data, label)
     scored = out_of_fold(data, learners, features, label, "fold", folds, classes, parallelism)
     each = F.array(*[F.struct(F.lit(n).alias("model"), F.col(ANSWER + n).alias("scores")) for n in learners])
@@ -150,7 +150,7 @@ class StackingClassifier(Estimator, MLWritable, MLReadable, _Stack):
 
     def _fit(self, dataset: DataFrame) -> StackingModel:
         data = dataset.where(F.col(self.label).isNotNull()).select(self.key, self.label, self.features)
-        data = materialize(fold_numbers(data, self.key, self.folds, self.label), "stack-folds")
+        data = materialize(fold_numbers(data, self.key, self.folds, self.label), "stack-folds", "fold")
         classes = class_count(data, self.label)
         level = out_of_fold(data, self.learners, self.features, self.label, "fold", self.folds, classes, self.parallelism)
         level = materialize(level.select(self.label, meta_features(self.names, classes).alias("_meta")), "stack-level")
